@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import mixing, secrets, tagpath, wordpiece
+from corvina.llm import mixing, secrets, simhash, tagpath, wordpiece
 from corvina.llm.common import table
 
 #: Folder of public vocabularies, read on the driver only.
@@ -59,3 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 ORACLE_SQL: dict[str, str] = {"op10_poisson_mixing": OP10_SQL}
+
+
+def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"), shingle=3, words=1, radius=3)
+
+
+QUERIES["op5_simhash_classes"] = op5_simhash_classes
