@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import mixing, secrets, simhash, tagpath, wordpiece
-from corvina.llm.common import table
+from corvina.llm import mixing, secrets, simhash, tagpath, toxicity, wordpiece
+from corvina.llm.common import fold_of, table
 
 #: Folder of public vocabularies, read on the driver only.
 TOKENIZERS = "/opt/tokenizers"
@@ -66,3 +66,14 @@ def op5_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_simhash_classes"] = op5_simhash_classes
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold_of("doc_id", 4) == 2
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.column(docs, model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+QUERIES["op4_toxicity"] = op4_toxicity
