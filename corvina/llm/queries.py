@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import mixing, secrets, simhash, tagpath, toxicity, wordpiece
+from corvina.llm import brown, mixing, secrets, simhash, tagpath, toxicity, wordpiece
 from corvina.llm.common import fold_of, table
 
 #: Folder of public vocabularies, read on the driver only.
@@ -77,3 +77,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_toxicity"] = op4_toxicity
+
+
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_of("doc_id", 5) == 1
+    scored = brown.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+QUERIES["op6_class_lm"] = op6_class_lm
