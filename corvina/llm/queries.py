@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import brown, mixing, secrets, simhash, tagpath, toxicity, wordpiece
+from corvina.llm import brown, kneser, mixing, secrets, simhash, tagpath, toxicity, wordpiece
 from corvina.llm.common import fold_of, table
 
 #: Folder of public vocabularies, read on the driver only.
@@ -86,3 +86,10 @@ def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_class_lm"] = op6_class_lm
+
+
+def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_kneser_ney_quality"] = op7_kneser_ney_quality
