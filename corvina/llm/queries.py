@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import brown, kneser, mixing, secrets, simhash, tagpath, toxicity, wordpiece
+from corvina.llm import brown, crosspolytope, kneser, mixing, secrets, simhash, tagpath, toxicity, wordpiece
 from corvina.llm.common import fold_of, table
 
 #: Folder of public vocabularies, read on the driver only.
@@ -93,3 +93,10 @@ def op7_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_kneser_ney_quality"] = op7_kneser_ney_quality
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES["op3_nearest_neighbours"] = op3_nearest_neighbours
