@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import brown, crosspolytope, kneser, mixing, secrets, simhash, tagpath, toxicity, wordpiece
+from corvina.llm import brown, crosspolytope, kneser, latent, mixing, secrets, simhash, tagpath, toxicity, wordpiece
 from corvina.llm.common import fold_of, table
 
 #: Folder of public vocabularies, read on the driver only.
@@ -100,3 +100,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_nearest_neighbours"] = op3_nearest_neighbours
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op1_decontamination"] = op1_decontamination
