@@ -39,6 +39,10 @@ from corvina.llm.components import components
 
 #: Fingerprints that one traversal holds; larger buckets are split into pairs of chunks.
 BUCKET = 8_192
+#: Buckets up to this size are compared all at once.
+SMALL = 12
+#: A list of large buckets up to this length is broadcast (it is counted first), a longer one joined by hash.
+MAX_BROADCAST_BUCKETS = 100_000
 #: Number of reference fingerprints of the distance table, and the seed they are drawn from.
 PIVOTS, PIVOT_SEED = 8, 20_240_607
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -54,12 +58,13 @@ def _more(h: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42) -> bytes:
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42, distinct: bool = False) -> bytes:
     """Big-endian fingerprint of ``words`` times 64 bits.
 
     A-Z are lowered; words are runs without ASCII white space; shingles of
     ``shingle`` words, repeats included, are joined by spaces (fewer words:
-    all of them; no words: all bits zero).
+    all of them; no words: all bits zero). With ``distinct`` a repeated
+    shingle counts once.
     """
     ws = text.lower().split()
     if not ws:
@@ -71,6 +76,8 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42) -
         ends = list(itertools.accumulate(len(w) + 1 for w in ws))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[shingle - 1 :])]
+    if distinct:
+        hashes = list(set(hashes))
     h, half, out = np.array(hashes, dtype=np.uint64), len(hashes) / 2, []
     for k in range(words):
         x = _more(h, k)
@@ -81,13 +88,13 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42) -
     return b"".join(out)
 
 
-def fingerprints(text: Column, shingle: int = 3, words: int = 1) -> Column:
+def fingerprints(text: Column, shingle: int = 3, words: int = 1, distinct: bool = False) -> Column:
     """Binary fingerprint of a text column; null counts as empty."""
 
     @F.pandas_udf(T.BinaryType())
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([fingerprint(bytes(t) if t is not None else b"", shingle, words) for t in batch], dtype=object)
+            yield pd.Series([fingerprint(bytes(t) if t is not None else b"", shingle, words, distinct=distinct) for t in batch], dtype=object)
 
     return make(text.cast("binary"))
 
@@ -178,13 +185,19 @@ def _linked(radius: int, words: int):
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(rows)]
             a, b = [], []
-            # pairs, by far the most buckets, all at once
-            two = starts[ends - starts == 2]
-            near = two[(np.abs(_distances(fps[two], pivots) - _distances(fps[two + 1], pivots)) <= radius).all(axis=1)]
-            near = near[np.bitwise_count(fps[near] ^ fps[near + 1]).sum(axis=1) <= radius]
-            a += reps[near].tolist()
-            b += reps[near + 1].tolist()
-            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
+            # small buckets, by far the most, all at once: each row with those up to SMALL - 1 places on
+            size = ends - starts
+            rest = np.repeat(np.where(size <= SMALL, ends, starts), size) - np.arange(len(rows)) - 1
+            table = _distances(fps, pivots) if (size <= SMALL).any() else None
+            for step in range(1, SMALL):
+                x = np.flatnonzero(rest >= step)
+                if not len(x):
+                    break
+                x = x[(np.abs(table[x] - table[x + step]) <= radius).all(axis=1)]
+                x = x[np.bitwise_count(fps[x] ^ fps[x + step]).sum(axis=1) <= radius]
+                a += reps[x].tolist()
+                b += reps[x + step].tolist()
+            for s, e in zip(starts[size > SMALL], ends[size > SMALL]):
                 x, y = link(fps[s:e], reps[s:e], radius, pivots)
                 a += x
                 b += y
@@ -219,11 +232,17 @@ def _linked(radius: int, words: int):
 def edges(nodes: DataFrame, radius: int, words: int, tables: list[np.ndarray]) -> DataFrame:
     """Edges (a, b) between different fingerprints (rep long, fp binary); every component of the links is connected by them."""
     keyed = nodes.mapInPandas(_keyed(tables, words), "tab int, key long, rep long, fp binary")
-    sizes = keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # chunk pairs (i <= j) of a bucket: a row of chunk c goes to all pairs that hold c; one chunk for nearly all buckets
-    keyed = keyed.join(sizes, ["tab", "key"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
-    keyed = keyed.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
+    # only buckets over BUCKET are listed: at most one for every so many rows
+    large = cut(keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET))
+    number = large.count()
+    if number:
+        # chunk pairs (i <= j) of a bucket: a row of chunk c goes to all pairs that hold c
+        keyed = keyed.join(F.broadcast(large) if number <= MAX_BROADCAST_BUCKETS else large, ["tab", "key"], "left")
+        keyed = keyed.withColumn("chunks", F.coalesce(F.ceil(F.col("n") / BUCKET).cast("int"), F.lit(1)))
+        keyed = keyed.withColumn("c", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    else:
+        keyed = keyed.withColumn("c", F.lit(0)).withColumn("other", F.lit(0))
     keyed = keyed.select("tab", "key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "rep", "fp")
     keyed = keyed.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j", "rep")
     return keyed.mapInPandas(_linked(radius, words), "a long, b long")
@@ -237,6 +256,7 @@ def classes(
     words: int = 1,
     radius: int = 3,
     tables: list[np.ndarray] | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id (smallest id reachable over links, its own included).
 
@@ -246,7 +266,7 @@ def classes(
     empty table gives an empty table.
     """
     tables = tables or block_tables(64 * words, radius + 2, radius)
-    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle, words).alias("fp")))
+    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle, words, distinct).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     linked = components(edges(nodes.where("rep is not null"), radius, words, tables))
     named = nodes.join(linked, nodes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
