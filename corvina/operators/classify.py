@@ -66,9 +66,11 @@ def train(feats: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 def posterior(docs: DataFrame, feats: DataFrame, model: tuple[DataFrame, DataFrame], id_col: str = "doc_id") -> DataFrame:
     """doc_id, label, p for every document and label; present, known features only."""
     priors, table = model
-    present = table.where("fval is not null").select("label", "fname", "fval", F.log("p").alias("lp"))
+    # a value that training never saw has the probability of a count of zero
+    unseen = table.groupBy("label", "fname").agg(F.min(F.col("p") * 0.5 / (F.col("n") + 0.5)).alias("p0"))
+    unseen = unseen.withColumn("fval", F.explode(F.array(F.lit(True), F.lit(False))))
+    present = unseen.join(table.where("fval is not null"), ["label", "fname", "fval"], "left").select("label", "fname", "fval", F.log(F.coalesce("p", "p0")).alias("lp"))
     evidence = feats.join(present, ["fname", "fval"]).groupBy("doc_id", "label").agg(F.sum("lp").alias("e"))
-    # a known name with a value that was never seen in training has no row for it and is dropped
     every = docs.select(F.col(id_col).alias("doc_id")).join(F.broadcast(priors.select("label", F.log("p").alias("prior"))))
     logs = every.join(evidence, ["doc_id", "label"], "left").select("doc_id", "label", (F.col("prior") + F.coalesce("e", F.lit(0.0))).alias("s"))
     w = Window.partitionBy("doc_id")
@@ -76,6 +78,6 @@ def posterior(docs: DataFrame, feats: DataFrame, model: tuple[DataFrame, DataFra
 
 
 def predict(docs: DataFrame, feats: DataFrame, model: tuple[DataFrame, DataFrame], id_col: str = "doc_id") -> DataFrame:
-    """doc_id, label, p of the most probable label (ties: the first label)."""
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("p"), "label"))
+    """doc_id, label, p of the most probable label; of labels that tie to 12 places, the last in order."""
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("p", 12)), F.desc("label")))
     return posterior(docs, feats, model, id_col).withColumn("r", best).where("r = 1").select("doc_id", "label", "p")

@@ -378,10 +378,11 @@ def _(t: Tables) -> DataFrame:
 @query(
     "nb_predict",
     f"""WITH {_FEATS}, pri AS (SELECT label, ln((n_label + 0.5::DOUBLE) / ((SELECT sum(n_label) FROM nl) + 0.5::DOUBLE * (SELECT count(*) FROM nl))) AS lp FROM nl),
-  ev AS (SELECT doc_id, label, sum(ln(p)) AS s FROM f JOIN tab USING (fname, fval) GROUP BY ALL),
+  p0 AS (SELECT label, fname, min(0.5::DOUBLE * p / (n + 0.5::DOUBLE)) AS p0 FROM tab GROUP BY ALL),
+  ev AS (SELECT f.doc_id, p0.label, sum(ln(coalesce(tab.p, p0.p0))) AS s FROM f JOIN p0 USING (fname) LEFT JOIN tab ON tab.label = p0.label AND tab.fname = f.fname AND tab.fval = f.fval GROUP BY ALL),
   s AS (SELECT d.doc_id, pri.label, pri.lp + coalesce(ev.s, 0) AS s FROM documents d CROSS JOIN pri LEFT JOIN ev ON ev.doc_id = d.doc_id AND ev.label = pri.label),
   x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id)) AS x FROM s), p AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id) AS p FROM x)
-  SELECT doc_id, label, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, label) AS r FROM p) WHERE r = 1""",
+  SELECT doc_id, label, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 12) DESC, label DESC) AS r FROM p) WHERE r = 1""",
 )
 def _(t: Tables) -> DataFrame:
     feats, labels = _nb(t)
