@@ -108,6 +108,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float, int]]:
         if tag == "br":
             parts.append(" ")
             continue
+        if tag in RAW:
+            # its content is no text, and it breaks no block
+            if not m[1] and not m[3].endswith("/"):
+                ends = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                at = ends.end() if ends else end
+            continue
         inline = tag in INLINE
         if not inline:
             flush()
@@ -130,11 +136,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float, int]]:
                 i -= 1
             if lowest is not None:
                 close(lowest)
-        if tag in VOID or m[3].endswith("/") and tag in RAW:
-            continue
-        if tag in RAW:
-            ends = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = ends.end() if ends else end
+        if tag in VOID:
             continue
         by_tag, by_name = _banned(tag, m[3], any(x[0] in ("article", "main") for x in stack))
         if inline:
