@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,8 @@ WINDOW, RANK, OVERSAMPLE, SEED = 32, 128, 16, 11
 MAX_ITEMS = 20_000
 #: Words of a chunk: a longer document is a chunk of its own.
 CHUNK = 250_000
+#: Passages whose sums run on in one array.
+RUN = 1_024
 #: Terms in at most this share of the passages are content terms.
 COMMON = 0.02
 MIN_COSINE, VERBATIM, PARAPHRASE, CONTENT, ANSWER = 0.4, 0.8, 0.55, 0.6, 0.6
@@ -106,39 +109,51 @@ class Passages:
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray):
         start, end, doc = _starts(sizes)
         at = np.flatnonzero(idf[ids] > 0)
-        self.ids, self.weight = ids[at], idf[ids[at]]
+        self.ids, self.weight = ids[at], idf[ids[at]].astype(np.float32)
         lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
         keep = hi - lo >= 2
         self.lo, self.hi, self.start, self.end, self.doc = lo[keep], hi[keep], start[keep], end[keep], doc[keep]
-        squares = np.r_[0.0, np.cumsum(self.weight**2)]
-        self.norm = np.sqrt(np.maximum(squares[self.hi] - squares[self.lo], 1e-12))
+        squares = np.r_[0.0, np.cumsum(self.weight.astype(np.float64) ** 2)]
+        self.norm = np.sqrt(np.maximum(squares[self.hi] - squares[self.lo], 1e-12)).astype(np.float32)
 
     def times(self, m: np.ndarray) -> np.ndarray:
-        """Rows of the normalised TF-IDF matrix times m."""
-        out = np.empty((len(self.lo), m.shape[1]))
-        for s in range(0, len(self.lo), 4096):
-            lo, hi = self.lo[s : s + 4096], self.hi[s : s + 4096]
+        """Rows of the normalised TF-IDF matrix times m; single precision, in runs short enough for its sums."""
+        out = np.empty((len(self.lo), m.shape[1]), np.float32)
+        m = m.astype(np.float32)
+        for s in range(0, len(self.lo), RUN):
+            lo, hi = self.lo[s : s + RUN], self.hi[s : s + RUN]
             a, b = lo.min(), hi.max()
-            sums = np.concatenate([np.zeros((1, m.shape[1])), np.cumsum(m[self.ids[a:b]] * self.weight[a:b, None], axis=0)])
-            out[s : s + 4096] = (sums[hi - a] - sums[lo - a]) / self.norm[s : s + 4096, None]
+            sums = np.zeros((b - a + 1, m.shape[1]), np.float32)
+            part = m[self.ids[a:b]]
+            part *= self.weight[a:b, None]
+            np.cumsum(part, axis=0, out=sums[1:])
+            here = out[s : s + RUN]
+            np.take(sums, hi - a, axis=0, out=here)
+            here -= sums[lo - a]
+        out /= self.norm[:, None]
         return out
 
     def transposed_times(self, y: np.ndarray, terms: int) -> np.ndarray:
-        """The matrix's transpose times y, one row per passage."""
-        y = y / self.norm[:, None]
-        # an occurrence's weight goes with the sum of y over the windows that hold it
+        """The matrix's transpose times y, one row per passage.
+
+        Bounds of windows ascend, so the windows that hold an occurrence are a
+        run, whose sum is a difference of running sums; all occurrences of a
+        term have its weight.
+        """
         out = np.zeros((terms, y.shape[1]))
-        for s in range(0, len(self.lo), 4096):
-            lo, hi, part = self.lo[s : s + 4096], self.hi[s : s + 4096], y[s : s + 4096]
+        y = y / self.norm[:, None]
+        for s in range(0, len(self.lo), RUN):
+            lo, hi = self.lo[s : s + RUN], self.hi[s : s + RUN]
             a, b = lo.min(), hi.max()
-            change = np.zeros((b - a + 1, y.shape[1]))
-            np.add.at(change, lo - a, part)
-            np.subtract.at(change, hi - a, part)
-            held = np.cumsum(change[:-1], axis=0) * self.weight[a:b, None]
-            order = np.argsort(self.ids[a:b], kind="stable")
-            sorted_ids = self.ids[a:b][order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(sorted_ids)) + 1]
-            out[sorted_ids[cuts]] += np.add.reduceat(held[order], cuts, axis=0)
+            sums = np.zeros((len(lo) + 1, y.shape[1]), np.float32)
+            np.cumsum(y[s : s + RUN], axis=0, out=sums[1:])
+            order = np.argsort(self.ids[a:b].astype(np.int32), kind="stable")
+            ids = self.ids[a:b][order]
+            cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1]
+            held = sums[np.searchsorted(lo, order + a, "right")]
+            held -= sums[np.searchsorted(hi, order + a, "right")]
+            # most words occur once in a run
+            out[ids[cuts]] += (held if len(cuts) == len(ids) else np.add.reduceat(held, cuts, axis=0)) * self.weight[a:b][order][cuts, None]
         return out
 
 
@@ -156,7 +171,8 @@ def _pack(docs: DataFrame, index, id_type: str) -> DataFrame:
 
         for f in frames:
             for key, text in zip(f[_ID], f["text"]):
-                x = np.array([get(w, 0) for w in words(text)], "<i4")
+                ws = words(text)
+                x = np.fromiter(map(get, ws, repeat(0)), "<i4", len(ws))
                 ids.append(x)
                 sizes.append(len(x))
                 keys.append(None if pd.isna(key) else key)
@@ -181,13 +197,20 @@ def _frequencies(chunks: DataFrame, terms: int) -> tuple[np.ndarray, int]:
                 start, end, _ = _starts(size)
                 n += len(start)
                 at = np.flatnonzero(ids)
-                lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
-                count = hi - lo
-                if not count.sum():
+                if not len(at):
                     continue
-                where = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-                key = np.unique(np.repeat(np.arange(len(start)), count) * terms + ids[at[where]])
-                df += np.bincount(key % terms, minlength=terms)
+                # a word counts in a window if the same word before it lies before the window
+                term = ids[at].astype(np.int32)
+                order = np.argsort(term, kind="stable")
+                before = np.full(len(at), -1)
+                again = term[order[1:]] == term[order[:-1]]
+                before[order[1:][again]] = at[order[:-1][again]]
+                first, last = np.searchsorted(end, at, "right"), np.searchsorted(start, at, "right")
+                for k in range(int((last - first).max())):
+                    w = first + k
+                    inside = w < last
+                    counted = inside & (before < start[np.minimum(w, len(start) - 1)])
+                    df += np.bincount(term[counted], minlength=terms)
         i = np.flatnonzero(df)
         yield pd.DataFrame({"term": np.r_[0, i], "n": np.r_[n, df[i]]})
 
@@ -232,7 +255,7 @@ def _summed(chunks: DataFrame, matrix: np.ndarray, idf: np.ndarray) -> np.ndarra
 
     schema = "block long, sums binary"
     out = np.zeros((terms, width))
-    for r in chunks.mapInPandas(run, schema).repartition("block").sortWithinPartitions("block").mapInPandas(add, schema).collect():  # terms * width numbers
+    for r in chunks.mapInPandas(run, schema).repartition(-(-terms // rows), "block").sortWithinPartitions("block").mapInPandas(add, schema).collect():  # terms * width numbers
         x = np.frombuffer(bytes(r["sums"]), "<f8").reshape(-1, width)
         out[r["block"] : r["block"] + len(x)] = x
     return out
@@ -294,10 +317,10 @@ def _search_block(docs: DataFrame, rows: list, id_type: str, rank: int) -> DataF
                 best: dict[int, tuple] = {}
                 leaks: dict[int, set] = {}
                 done = set()
-                for s in range(0, len(p.lo), 4096):
-                    part = _Slice(p, s, s + 4096)
+                for s in range(0, len(p.lo), RUN):
+                    part = _Slice(p, s, s + RUN)
                     cosine = _unit(part.times(basis)).astype(np.float32) @ vectors.T
-                    for w, v in zip(*np.nonzero(cosine >= MIN_COSINE)):
+                    for w, v in zip(*np.divmod(np.flatnonzero(cosine.ravel() >= MIN_COSINE), len(vectors))):
                         d, i = int(p.doc[s + w]), int(owner[v])
                         if (s + w, i) in done:
                             continue
