@@ -111,7 +111,8 @@ def starts_hyperbolic(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined runs of n tokens."""
-    several = lambda ts: F.transform(F.sequence(F.lit(1), F.size(ts) - n + 1), lambda i: F.array_join(F.slice(ts, i, n), " "))
+    # elements by place: a slice would copy the whole array each time
+    several = lambda ts: F.transform(F.sequence(F.lit(0), F.size(ts) - n), lambda i: F.concat_ws(" ", *(F.get(ts, i + k) for k in range(n))))
     return let(tokens, lambda ts: F.when(F.size(ts) >= n, several(ts)).otherwise(F.array().cast("array<string>")))
 
 
