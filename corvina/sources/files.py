@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What makes a UTF-8 file begin with a byte order mark.
-BOM = "﻿"
+BOM = chr(0xFEFF)
 
 
 def text_folder(spark: SparkSession, folder: str) -> DataFrame:
     """name, text of every .txt file; undecodable bytes are dropped. Order by name where order matters."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-    # decoding marks what it can't read with U+FFFD
-    text = F.replace(F.col("content").cast("string"), F.lit("�"), F.lit(""))
-    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), text.alias("text"))
+    rows = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
+    # bytes that aren't UTF-8 become the replacement character first
+    text = F.replace(F.make_valid_utf8("value"), F.lit(chr(0xFFFD)), F.lit(""))
+    return rows.select(F.col("_metadata.file_name").alias("name"), text.alias("text"))
 
 
 def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
