@@ -33,3 +33,15 @@ def texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
 def fold_of(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty string."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
+
+
+#: Texts have no bound on their length, so no more rows of them than this make an Arrow batch.
+TEXT_ROWS = 2_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The frame itself; from here on its session sends Python at most TEXT_ROWS rows at a time."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df

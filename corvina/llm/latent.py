@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import cut
+from corvina.llm.common import cut, text_batches
 
 WINDOW, RANK, OVERSAMPLE, SEED = 32, 128, 16, 11
 MAX_ITEMS = 20_000
@@ -358,7 +358,7 @@ class _Slice:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
     """doc_id, contaminated, n_items, item_id, cosine, lcs_share, answer_share: one row for each of ``docs``; item_id and what follows are of the best match."""
-    own = docs.select(F.col(id_col).alias(_ID), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = text_batches(docs).select(F.col(id_col).alias(_ID), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     blocks = max(1, -(-items.count() // MAX_ITEMS))

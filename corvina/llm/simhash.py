@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvina.llm.common import cut
+from corvina.llm.common import cut, text_batches
 from corvina.llm.components import components
 
 #: Fingerprints that one traversal holds; larger buckets are split into pairs of chunks.
@@ -266,7 +266,7 @@ def classes(
     empty table gives an empty table.
     """
     tables = tables or block_tables(64 * words, radius + 2, radius)
-    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle, words, distinct).alias("fp")))
+    prints = cut(text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle, words, distinct).alias("fp")))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     linked = components(edges(nodes.where("rep is not null"), radius, words, tables))
     named = nodes.join(linked, nodes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvina.llm.common import text_batches
+
 #: Bounds of the labelled sample.
 MAX_TOXIC, MAX_CLEAN = 3_000, 5_000
 #: A feature needs so many documents of the sample.
@@ -192,9 +194,12 @@ def train(sample: pd.DataFrame, prior: float, steps: int = 80) -> Model:
         half[np.flatnonzero(sample["toxic"].to_numpy() == y)[::2]] = True
     count = {0: Counter(), 1: Counter()}
     number = {0: 0, 1: 0}
-    for text, toxic in sample.loc[half, ["text", "toxic"]].itertuples(index=False):
-        number[toxic] += 1
-        count[toxic].update({f for w in set(_TOKEN.findall((text or "").lower())) for f in _features(w)})
+    for y in (1, 0):
+        for text in sample.loc[half & (sample["toxic"] == y), "text"]:
+            number[y] += 1
+            found = {f for w in set(_TOKEN.findall((text or "").lower())) for f in _features(w)}
+            # of clean documents only what toxic ones hold is of interest
+            count[y].update(found if y else found & count[1].keys())
     for f, k1 in count[1].items():
         k0 = count[0][f]
         if k0 + k1 >= SUPPORT:
@@ -288,7 +293,7 @@ def spans(m: Model, text: str | None, memo: _Levels | None = None) -> list[tuple
 
 def scorer(docs: DataFrame, m: Model):
     """A function from a text column to a struct of score and spans (array of start, end, marginal)."""
-    shared = docs.sparkSession.sparkContext.broadcast(m)
+    shared = text_batches(docs).sparkSession.sparkContext.broadcast(m)
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
     @F.pandas_udf(kind)
@@ -311,4 +316,13 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
 
 
 def column(docs: DataFrame, m: Model, text: Column) -> Column:
-    return scorer(docs, m)(text)["score"]
+    """The score alone, without a second look at toxic documents for their spans."""
+    shared = text_batches(docs).sparkSession.sparkContext.broadcast(m)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo = _Levels(shared.value.levels)
+        for batch in batches:
+            yield pd.Series(_scored(shared.value, list(batch), memo))
+
+    return score(text)

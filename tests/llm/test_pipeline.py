@@ -45,3 +45,9 @@ def test_stages_one_after_another(spark, tmp_path):
     assert set(kept["secrets"]) == set(kept["decontamination"]) and "0123456789abcdef" not in kept["secrets"][1003] and not secrets.find(kept["secrets"][1003])
     mixed = pipeline.STAGES[-1][1](spark, at, str(tmp_path))
     assert mixed.count() > 0 and {"copy", "n_copies"} <= set(mixed.columns)
+
+
+def test_rows_without_ids_stay(spark, tmp_path):
+    rows = [(1, "uno dos tres cuatro cinco seis", "es", "a", 30), (None, "uno dos tres cuatro cinco seis", "es", "a", 30), (None, "otra cosa distinta por completo aqui", None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert pipeline.drop_near_duplicates(spark, d, str(tmp_path)).count() == 3
