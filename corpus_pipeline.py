@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvina.llm import latent, mixing, secrets, simhash, toxicity
-from corvina.llm.common import table
+from corvina.llm.common import table, text_batches
 from corvina.llm.queries import MIXTURE
 
 #: Documents from this score on are rejected as toxic.
@@ -35,10 +35,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id."""
+    """Of each class of near-duplicates the document with the smallest id; rows without an id can't be told apart and stay."""
     found = simhash.classes(docs, shingle=SHINGLE, words=WORDS, radius=RADIUS, tables=simhash.sampled_tables(64 * WORDS, TABLES, KEY_BITS), distinct=True)
-    others = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(_KEY)).distinct()
-    return docs.join(others, docs["doc_id"].eqNullSafe(others[_KEY]), "left_anti")
+    others = found.where("doc_id != component_id").select(F.col("doc_id").alias(_KEY)).distinct()
+    return docs.join(others, docs["doc_id"] == others[_KEY], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked and n_chars brought up to date."""
-    masked = docs.withColumn("text", secrets.redacted(F.col("text")))
+    masked = text_batches(docs).withColumn("text", secrets.redacted(F.col("text")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return masked.select(*docs.columns)
