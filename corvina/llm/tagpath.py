@@ -4,8 +4,9 @@ Every block of text has a path of block-level tags from the root. Text length
 and punctuation are summed per path and divided by the number of its blocks,
 so that a short paragraph scores like its siblings. The two series along the
 page are smoothed, fused (geometric mean) and thresholded at a share of their
-standard deviation. The container that holds most of the selected text then
-also gives its headings and short blocks. Blocks in menus, headers, footers,
+standard deviation. The element that holds all of the selected text, or the
+article it lies in, then also gives its headings, short blocks and lists of
+links; no selected block is left out. Blocks in menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts and styles take no part.
 
 Defined results: null or empty html gives an empty text; unclosed and
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 THRESHOLD = 0.6
 #: Weights of a block's neighbours at distances 0, 1, 2.
 KERNEL = (1.0, 0.6, 0.15)
-#: The container of the text holds this share of it.
-COVER = 0.8
+#: Blocks without a class that go on with the text where no element holds it alone.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption".split())
 
 # Fixed values of the HTML standard: elements that don't break a block, that have no end tag, whose content isn't markup.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -174,23 +175,29 @@ def main_text(page: str | None) -> str:
     chosen = [i for i, b in enumerate(found) if fused[i] >= threshold and b[2] < 0.5]
     if not chosen:
         return " ".join(b[1] for b in found if b[2] < 0.5)
-    # the deepest container that covers the selected text gives all of its own blocks
-    weight: dict[tuple, float] = defaultdict(float)
-    total = 0.0
-    for i in chosen:
-        path, size = found[i][0], len(found[i][1])
-        total += size
-        for d in range(len(path)):
-            weight[path[:d]] += size
-    container = max((p for p, w in weight.items() if w >= COVER * total), key=len, default=())
+    # the deepest element that holds all selected text, or the article it lies in
+    parents = {found[i][0][:-1] for i in chosen}
+    low, high = min(parents), max(parents)
+    container = low[: next((d for d, (x, y) in enumerate(zip(low, high)) if x != y), min(len(low), len(high)))]
+    article = next((d for d in range(len(container), 0, -1) if container[d - 1].split(".")[0] in ("article", "main")), 0)
+    container = container[:article] if article else container
+    # the elements of which selected blocks are children are the article's own, their menus of links too
+    own = {p for p in parents if p and p[-1].split(".")[0] not in ("html", "body")} | ({container} if article else set())
+    within = {i for i, b in enumerate(found) if any(b[0][:d] in own for d in range(1, len(b[0]) + 1))}
     inside = {i for i, b in enumerate(found) if b[0][: len(container)] == container and b[2] < 0.5}
+    first, last = chosen[0], chosen[-1]
     if not container or container[-1].split(".")[0] in ("html", "body"):
-        # no container of its own: from the heading before the first selected block to the last
-        first = chosen[0]
-        while first and found[first - 1][0] and found[first - 1][0][-1][:2] in ("h1", "h2"):
-            first -= 1
-        inside = {i for i in inside if first <= i <= chosen[-1]}
-    return " ".join(found[i][1] for i in sorted(inside | {i for i in chosen if found[i][0][: len(container)] == container}))
+        # no container of its own: up to the last block of running text beside the selected ones
+        while last + 1 < len(found) and found[last + 1][0][:-1] in parents and found[last + 1][2] < 0.5 and found[last + 1][0][-1] in PROSE:
+            last += 1
+        inside = {i for i in inside if first <= i <= last}
+    inside |= within | set(chosen)
+    # the headings right before
+    first = min(inside)
+    while first and found[first - 1][0] and found[first - 1][0][-1][:2] in ("h1", "h2"):
+        first -= 1
+        inside.add(first)
+    return " ".join(found[i][1] for i in sorted(inside))
 
 
 @F.pandas_udf(T.StringType())

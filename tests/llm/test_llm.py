@@ -400,6 +400,33 @@ def test_main_text(page):
     assert tagpath.main_text(page) == PAGES[page]
 
 
+LINE = "A line of the article, with commas, and enough of it. "
+WHOLE = {
+    "list": f"<body><article><h1>Head</h1><p>{LINE * 2}</p><ul>{f'<li>{LINE * 2}</li>' * 10}</ul></article></body>",
+    "only the list": f"<body><article><h1>Head</h1><ul>{f'<li>{LINE * 2}</li>' * 10}</ul></article></body>",
+    "lead": f"<body><div id=page><p>{LINE * 2}</p><div class=body>{f'<p>{LINE * 3}</p>' * 9}</div></div></body>",
+    "sections": f"<body><main><section class=a><p>{LINE * 2}</p></section><section class=b>{f'<p>{LINE * 3}</p>' * 9}</section></main></body>",
+    "closing": f"<body><h1>Head</h1>{f'<p>{LINE * 3}</p>' * 5}<h3>So</h3><p>Ok.</p></body>",
+    "closing of one part": f"<body><div class=a><p>{LINE * 3}</p></div><div class=b>{f'<p>{LINE * 3}</p>' * 5}<h3>So</h3><div>Ok.</div></div></body>",
+    "links": f"<body><article><h1>Head</h1>{f'<p>{LINE * 3}</p>' * 5}<ul><li><a href=x>A source</a></li></ul></article></body>",
+    "title": f"<body><main><h1>Head</h1><article>{f'<p>{LINE * 3}</p>' * 5}</article></main></body>",
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_main_text_is_whole(name):
+    outside = '<nav><a href=x>Menu</a></nav>', "<footer>Foot</footer>"
+    page = WHOLE[name].replace("<body>", "<body>" + outside[0]).replace("</body>", outside[1] + "</body>")
+    assert tagpath.main_text(page) == " ".join(re.sub("<[^>]*>", " ", WHOLE[name]).split())
+
+
+def test_menus_beside_the_text_stay_out():
+    menu = "<ul><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul>"
+    text = f"<div class=text>{f'<p>{LINE * 3}</p>' * 5}</div>"
+    for page in (f"<body>{menu}{text}{menu}</body>", f"<body><div class=page>{menu}{text}{menu}</div></body>"):
+        assert tagpath.main_text(page) == " ".join([*(LINE * 15).split()])
+
+
 def test_page_columns(spark):
     d = spark.createDataFrame([(1, None, "<p>é, x</p>", "clash"), (None, "u", None, "clash")], "page_id long, url string, html string, text string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in tagpath.extract_pages(d).collect()) == [("1", "é, x", 4), ("None", "", 0)]
