@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -117,6 +119,46 @@ def test_automaton_equals_greedy():
             assert a.count(w) == greedy(w, first, rest), (w, first, rest)
 
 
+def greedy_with_bytes(word, pieces):
+    """Longest match over the mark and the word; a character without a piece is its bytes."""
+    word, at, n = "▁" + word, 0, 0
+    while at < len(word):
+        # the mark belongs to the first piece only
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in pieces and (at == 0 or word[at] != "▁")), None)
+        n += 1 if end else len(word[at].encode())
+        at = end or at + 1
+    return n
+
+
+def test_bare_mark_and_bytes():
+    a = wordpiece.Automaton(["", "ab"], ["a", "b", "cd"])
+    assert [a.count(w) for w in ("ab", "ba", "acd", "cd", "c", "abc")] == [1, 3, 3, 2, 0, 0]
+    a = wordpiece.Automaton(["ab"], ["b", "cdñ"], True)
+    assert [a.count(w) for w in ("ab", "b", "cdb", "abñ", "中", "abcdñ")] == [1, 4, 6, 3, 6, 2]
+    r = random.Random(5)
+    for _ in range(60):
+        make = lambda: {"".join(r.choice("abñ") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 12))}
+        first, rest = make() | ({""} if r.random() < 0.5 else set()), make()
+        a, pieces = wordpiece.Automaton(sorted(first), sorted(rest), True), {"▁" + p for p in first} | rest
+        for _ in range(60):
+            w = "".join(r.choice("abñ中") for _ in range(r.randint(1, 12)))
+            assert a.count(w) == greedy_with_bytes(w, pieces), (w, first, rest)
+
+
+def test_real_vocabulary_equals_greedy():
+    path, table = Path("/opt/tokenizers/piece_bpe_32k.model"), Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("no vocabulary here")
+    first, rest, byte_pieces = wordpiece.sentencepiece_vocabulary(str(path))
+    assert "" in first and byte_pieces
+    a, pieces = wordpiece.Automaton(first, rest, byte_pieces), {"▁" + p for p in first} | set(rest)
+    words = {"ñción", "ñado", "ça", "ßen", "êtes", "中文字", "𓂀x", "\x00", "a▁b", "don't", "Donaudampfschiff"}
+    if table.exists():
+        words |= {w for t in pd.read_parquet(table)["text"].dropna() for w in t.split() if len(w) < 200}
+    for w in words:
+        assert a.count(w) == greedy_with_bytes(w, pieces) > 0, w
+
+
 def test_token_counts(odd):
     got = wordpiece.token_counts(odd, (["w", "ka", "solo"], [*"0123456789", "lo"])).collect()
     assert len(got) == 8
