@@ -13,17 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import latent, mixing, secrets, simhash, toxicity
+from corvina.llm import jaccard, latent, mixing, secrets, toxicity
 from corvina.llm.common import table, text_batches
 from corvina.llm.queries import MIXTURE
 
 #: Documents from this score on are rejected as toxic.
 TOXIC_AT = 0.5
 
-#: Near-duplicates: 256 bits over 5-word shingles, of which 0.8 or more agree.
-SHINGLE, WORDS, SIMILARITY = 5, 4, 0.8
-RADIUS = int(64 * WORDS * (1 - SIMILARITY) + 1e-9)
-TABLES, KEY_BITS = 48, 16
+#: Near-duplicates: a Jaccard similarity of 0.8 or more of their 5-word shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 
 _KEY = "_pipeline_row_key"
 
@@ -36,7 +34,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id; rows without an id can't be told apart and stay."""
-    found = simhash.classes(docs, shingle=SHINGLE, words=WORDS, radius=RADIUS, tables=simhash.sampled_tables(64 * WORDS, TABLES, KEY_BITS), distinct=True)
+    found = jaccard.classes(docs, SIMILARITY, SHINGLE)
     others = found.where("doc_id != component_id").select(F.col("doc_id").alias(_KEY)).distinct()
     return docs.join(others, docs["doc_id"] == others[_KEY], "left_anti")
 

@@ -1,0 +1,219 @@
+"""Classes of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``, complete and verified.
+
+Equal sets are one node. Shingles have one global order: those that many
+texts of a sample hold come last, else by hash. Two sets of the similarity
+share at least ``share`` of the smaller set's shingles, and one, among the
+first ``1 - similarity + share`` of both sets' shingles in any such order, so
+a join on these first shingles that counts what each pair shares loses no
+pair; what it finds is verified on the whole sets.
+
+So that a large group of near copies does not make all its pairs, nodes that
+agree in a band of minimal hashes are first linked to the smallest of them,
+verified alike, and the join leaves out pairs that are in one component by
+these links. This changes no class.
+"""
+
+from __future__ import annotations
+
+import itertools
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corvina.llm.common import cut, text_batches
+from corvina.llm.components import components
+
+#: Bands of minimal hashes, and hashes in a band.
+BANDS, IN_BAND = 8, 3
+#: Part of a set that pairs have to share among their first shingles.
+SHARE = 0.05
+#: Nodes looked at for common shingles, and how many of them make a shingle common: for speed, no class depends on it.
+SAMPLE, COMMON = 4_000, 4
+#: Rows or pairs that a task holds before it passes them on, and nodes that are broadcast (they are counted first).
+HELD, MAX_BROADCAST_NODES = 1_000_000, 500_000
+
+_ODD = (np.random.default_rng(3).integers(0, 2**63, BANDS * IN_BAND, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct hashes of runs of ``width`` words, A-Z lowered (fewer words: all of them; no words: none)."""
+    ws = text.lower().split()
+    if not ws:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(ws)
+    ends = list(itertools.accumulate(len(w) + 1 for w in ws))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[min(width, len(ws)) - 1 :])], dtype=np.uint64))
+
+
+def node_of(own: np.ndarray) -> int:
+    return int(np.array(xxhash.xxh3_64_intdigest(own.tobytes()), np.uint64).astype(np.int64))
+
+
+def _need(n, similarity: float):
+    """(first shingles of a set of n, how many of them a pair has to share)"""
+    share = 1 + int(SHARE * n)
+    return n - math.ceil(similarity * n - 1e-9) + share, share
+
+
+def _bands(own: np.ndarray) -> list[int]:
+    if not len(own):
+        return []
+    low = np.array([((own * m) ^ ((own * m) >> np.uint64(29))).min() for m in _ODD], dtype=np.uint64).reshape(BANDS, IN_BAND)
+    return [int(np.array(xxhash.xxh3_64_intdigest(low[b].tobytes(), b), np.uint64).astype(np.int64)) for b in range(BANDS)]
+
+
+def _pairs(similarity: float):
+    """Rows (h, node, part, n) sorted by h, n -> pairs (a, b, shared, need) of different parts and near sizes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def done(h, node, part, n):
+            new = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]  # copies give the same rows
+            h, node, part, n = h[new], node[new], part[new], n[new]
+            live, step = np.arange(len(h)), 0
+            held, size = [], 0
+            while True:
+                step += 1
+                live = live[live + step < len(h)]
+                live = live[(h[live] == h[live + step]) & (n[live] >= similarity * n[live + step] - 1e-9)]
+                if not len(live):
+                    break
+                x = live[part[live] != part[live + step]]
+                if len(x):
+                    y = x + step
+                    held.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), n[x]], 1))
+                    size += len(x)
+                if size > HELD:
+                    yield counted(held)
+                    held, size = [], 0
+            if held:
+                yield counted(held)
+
+        def counted(held):
+            f = pd.DataFrame(np.concatenate(held), columns=["a", "b", "n"]).groupby(["a", "b"], as_index=False)["n"].agg(["size", "min"])
+            return pd.DataFrame({"a": f["a"], "b": f["b"], "shared": f["size"].astype("int64"), "need": 1 + (SHARE * f["min"]).astype("int64")})
+
+        held, size = [], 0
+        for f in frames:
+            held.append([f[c].to_numpy() for c in ("h", "node", "part", "n")])
+            size += len(f)
+            if size < HELD:
+                continue
+            h, *more = (np.concatenate(c) for c in zip(*held))
+            end = int(np.searchsorted(h, h[-1], "left"))  # the last shingle may go on
+            yield from done(h[:end], *(c[:end] for c in more))
+            held, size = [[c[end:] for c in (h, *more)]], 0
+        if held:
+            yield from done(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def classes(docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (smallest id reachable over links) of each row; rows with a null id have the component of their equals, if any."""
+    texts = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+
+    def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            own = [shingles(t, shingle) for t in f["text"]]
+            yield pd.DataFrame({"doc_id": f["doc_id"], "node": [node_of(x) for x in own], "bands": [_bands(x) for x in own]})
+
+    prints = cut(texts.mapInPandas(describe, "doc_id long, node long, bands array<long>"))
+    nodes = cut(prints.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+
+    def small(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_NODES else rows
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """node, hashes of the nodes wanted"""
+        wanted = nodes.select("node", "rep").join(wanted, "node", "left_semi")
+
+        def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                own = [shingles(t, shingle) for t in f["text"]]
+                at = [i for i, (x, n) in enumerate(zip(own, f["node"])) if node_of(x) == n]
+                yield pd.DataFrame({"node": f["node"].to_numpy()[at], "hashes": [own[i].tobytes() for i in at]})
+
+        # an id that repeats with other texts gives other sets, which are not the node's
+        found = texts.join(small(cut(wanted)), F.col("doc_id") == F.col("rep")).select("node", "text")
+        return found.mapInPandas(make, "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+
+    def verified(edges: DataFrame) -> DataFrame:
+        edges = cut(edges.distinct())
+        own = cut(sets(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+        heads = edges.select(F.col("a").alias("node")).distinct().join(own, "node").select(F.col("node").alias("a"), F.lit(0).alias("kind"), F.col("node").alias("b"), "hashes")
+        tails = edges.join(own, F.col("b") == F.col("node")).select("a", F.lit(1).alias("kind"), "b", "hashes")
+
+        def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            head, x = None, None
+            for f in frames:
+                out = []
+                for a, kind, b, hashes in f.itertuples(index=False):
+                    y = np.frombuffer(hashes, np.uint64)
+                    if kind == 0:
+                        head, x = a, y
+                    elif head == a:
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                            out.append((a, b))
+                yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+        return cut(heads.unionByName(tails).repartition("a").sortWithinPartitions("a", "kind").mapInPandas(check, "a long, b long"))
+
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    smallest = banded.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = verified(banded.join(smallest, "band").groupBy("node").agg(F.min("a").alias("a")).where("a < node").select("a", F.col("node").alias("b")))
+    parts = cut(components(first))
+
+    # shingles that come last
+    of = max(1, nodes.count() // SAMPLE)
+
+    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for node, hashes in f.itertuples(index=False):
+                own = np.frombuffer(hashes, np.int64)
+                yield pd.DataFrame({"h": own, "node": np.int64(node)})
+
+    sampled = sets(nodes.select("node").where(F.pmod(F.xxhash64("node"), F.lit(of)) == 0)).mapInPandas(explode, "h long, node long")
+    common = sampled.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select("h").toPandas()  # a part of the sample's shingles
+    last = docs.sparkSession.sparkContext.broadcast(np.sort(common["h"].to_numpy(np.int64).astype(np.uint64)))
+
+    def begin(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        late = last.value
+        for f in frames:
+            rows, size = [], 0
+            for t in f["text"]:
+                own = shingles(t, shingle)
+                if not len(own):
+                    continue
+                if len(late):
+                    at = np.minimum(np.searchsorted(late, own), len(late) - 1)
+                    is_late = late[at] == own
+                    ordered = np.concatenate([own[~is_late], own[is_late]])
+                else:
+                    ordered = own
+                x = ordered[: _need(len(own), similarity)[0]].astype(np.int64)
+                rows.append((x, np.full(len(x), node_of(own)), np.full(len(x), len(own))))
+                size += len(x)
+                if size > HELD // 4:
+                    yield pd.DataFrame(dict(zip(("h", "node", "n"), map(np.concatenate, zip(*rows)))))
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(dict(zip(("h", "node", "n"), map(np.concatenate, zip(*rows)))))
+
+    one = texts.where("doc_id is not null").mapInPandas(begin, "h long, node long, n long")
+    known = small(parts)
+    rows = one.join(known.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    rows = rows.select("h", "node", F.coalesce("component", "node").alias("part"), "n")
+    rows = rows.repartition("h").sortWithinPartitions("h", "n", "node")
+    found = rows.mapInPandas(_pairs(similarity), "a long, b long, shared long, need long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need"))
+    second = verified(found.where("shared >= need and a != b").select("a", "b"))
+    linked = components(first.unionByName(second))
+    named = prints.join(linked, "node", "left").select("doc_id", F.coalesce("component", "node").alias("part"))
+    least = named.groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "part").select("doc_id", "component_id")

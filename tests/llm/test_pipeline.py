@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline as pipeline
-from corvina.llm import secrets
+from corvina.llm import jaccard, secrets
 
 WORDS = ["".join(random.Random(i).choice(("ka", "lo", "mi", "ne", "ru")) for _ in range(1 + i % 4)) + str(i % 7) for i in range(3000)]
 
@@ -51,3 +53,40 @@ def test_rows_without_ids_stay(spark, tmp_path):
     rows = [(1, "uno dos tres cuatro cinco seis", "es", "a", 30), (None, "uno dos tres cuatro cinco seis", "es", "a", 30), (None, "otra cosa distinta por completo aqui", None, None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert pipeline.drop_near_duplicates(spark, d, str(tmp_path)).count() == 3
+
+
+def shingled(t):
+    ws = (t or "").lower().split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+@pytest.mark.parametrize("banded", [True, False])
+def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch, banded):
+    if not banded:  # the join alone is complete
+        monkeypatch.setattr(jaccard, "_bands", lambda own: [])
+    line = text(5000, 12)  # one very common line
+    docs = {i: text(i, 30 + i) + (" " + line if i % 2 else "") for i in range(100)}
+    for k in range(200):  # copies of 12 texts with more and more changed words: similarities all around the limit
+        r = random.Random(7000 + k)
+        ws = text(6000 + k % 12, 150 + 40 * (k % 3)).split()
+        for _ in range(1 + k % 9):
+            ws[r.randrange(len(ws))] = f"new{r.random()}"
+        docs[1000 + k] = " ".join(ws[k % 4 :])
+    docs |= {2000: "", 2001: None, 2002: "uno dos", 2003: "Uno  DOS", 2004: docs[5], 2005: " ".join(line.split()[:6]), 2006: " ".join(line.split()[:7])}
+    rows = [*docs.items(), (None, docs[7]), (None, None), (5, docs[1000])]  # an id again, with another text
+    sets = [(i, shingled(t)) for i, t in rows if i is not None]
+    part = list(range(len(sets)))
+    at_limit = 0
+    for x, (_, a) in enumerate(sets):
+        for y, (_, b) in enumerate(sets[:x]):
+            both, either = len(a & b), len(a | b)
+            at_limit += 0.75 * either <= both < 0.85 * either
+            if 5 * both >= 4 * either and part[x] != part[y]:
+                part = [part[y] if p == part[x] else p for p in part]
+    assert at_limit > 100
+    least = {p: min(i for (i, _), q in zip(sets, part) if p == q) for p in set(part)}
+    drop = {i for (i, _), p in zip(sets, part) if i != least[p]}
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["doc_id"] for r in pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()]
+    assert sorted(i for i in got if i is not None) == sorted(i for i, _ in sets if i not in drop) and got.count(None) == 2
+    assert pipeline.drop_near_duplicates(spark, d.limit(0), str(tmp_path)).count() == 0
