@@ -362,10 +362,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     id_type = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
     blocks = max(1, -(-items.count() // MAX_ITEMS))
+    searched, numbered = own, None
+    if blocks > 1:
+        # what the blocks find is put together by row, as ids may repeat or be null; the numbers are fixed by a checkpoint
+        numbered = cut(own.withColumn("row", F.monotonically_increasing_id()))
+        searched, id_type = numbered.select(F.col("row").alias(_ID), "text"), "bigint"
     found = []
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()
-        part = _search_block(own, rows, id_type, rank)
+        part = _search_block(searched, rows, id_type, rank)
         if part is not None:
             found.append(part)
     if not found:
@@ -376,4 +381,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             out = out.unionByName(more)
         best = F.max_by(F.struct("item_id", "cosine", "lcs_share", "answer_share"), F.struct("contaminated", "lcs_share", "answer_share", "cosine"))
         out = out.groupBy(_ID).agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").cast("int").alias("n_items"), best.alias("b")).select(_ID, "contaminated", "n_items", "b.*")
+    if numbered is not None:
+        out = out.withColumnRenamed(_ID, "row").join(numbered.select("row", _ID), "row").select(_ID, *(c for c in out.columns if c != _ID))
     return out.withColumnRenamed(_ID, "doc_id")

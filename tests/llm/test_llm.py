@@ -400,6 +400,19 @@ def test_blocks_of_items(spark, monkeypatch):
     assert all(got[i] == (True, i) for i in range(5)) and not got[9][0]
 
 
+def test_blocks_of_items_keep_rows(spark, monkeypatch):
+    """Null and repeated ids: the same rows as without blocks."""
+    items = {i: prose(1000 + i, 30, vocab(7, 2000)) for i in range(5)}
+    rows = [(None, items[0]), (None, prose(3, 90)), (None, None), (7, items[1]), (7, items[1]), (7, prose(4, 90)), (8, items[2] + " " + items[3])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = lambda: sorted((str(x["doc_id"]), x["contaminated"], x["n_items"]) for x in latent.decontaminate(d, b).collect())
+    whole = found()
+    assert whole == [("7", False, 0), ("7", True, 1), ("7", True, 1), ("8", True, 2), ("None", False, 0), ("None", False, 0), ("None", True, 1)]
+    monkeypatch.setattr(latent, "MAX_ITEMS", 2)
+    assert found() == whole
+
+
 def test_products_and_subsequences():
     r = np.random.default_rng(0)
     sizes = r.integers(1, 300, 20)
