@@ -17,8 +17,8 @@ from corvina.llm import jaccard, latent, mixing, secrets, toxicity
 from corvina.llm.common import table, text_batches
 from corvina.llm.queries import MIXTURE
 
-#: Documents from this score on are rejected as toxic.
-TOXIC_AT = 0.5
+#: Documents from this score on are rejected as toxic, as op4_toxicity predicts.
+TOXIC_AT = 0.3
 
 #: Near-duplicates: a Jaccard similarity of 0.8 or more of their 5-word shingles.
 SHINGLE, SIMILARITY = 5, 0.8

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from corvina.llm import jaccard, secrets
@@ -90,3 +91,11 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch, banded)
     got = [r["doc_id"] for r in pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()]
     assert sorted(i for i in got if i is not None) == sorted(i for i, _ in sets if i not in drop) and got.count(None) == 2
     assert pipeline.drop_near_duplicates(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_toxic_threshold_is_that_of_the_query(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(i, "uno", i / 10) for i in range(10)], "doc_id long, text string, s double")
+    spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(pipeline.toxicity, "fit", lambda *_: None)
+    monkeypatch.setattr(pipeline.toxicity, "column", lambda *_: F.col("s"))
+    assert sorted(r["doc_id"] for r in pipeline.drop_toxic(spark, d, str(tmp_path)).collect()) == [0, 1, 2]
