@@ -71,7 +71,7 @@ QUERIES["op5_simhash_classes"] = op5_simhash_classes
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of("doc_id", 4) == 2
-    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels"))
+    model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.column(docs, model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

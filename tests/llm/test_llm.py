@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corvina.llm import brown, components, crosspolytope, kneser, latent, mixing, secrets, simhash, tagpath, toxicity, wordpiece
+from corvina.llm import brown, components, crosspolytope, kneser, latent, mixing, queries, secrets, simhash, tagpath, toxicity, wordpiece
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, word string"
 
@@ -303,6 +303,16 @@ def test_toxicity_held_out(spark):
     assert all(rows[bad][1][int(a) : int(b)].lower() in ("vilword", "nastyling", "nastyest") for a, b, _ in got[bad]["spans"]) and got[bad]["spans"]
 
 
+def test_held_out_labels_do_not_teach(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, prose(i, 9)) for i in range(80)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: seen.extend({r["doc_id"] for r in x.collect()} for x in (docs, labels)))
+    monkeypatch.setattr(toxicity, "column", lambda *_: F.lit(0.0))
+    held = {r["doc_id"] for r in queries.op4_toxicity(spark, str(tmp_path)).where("held_out").collect()}
+    assert held and seen[0] == seen[1] == set(range(80)) - held
+
+
 def test_odd_documents_in_toxicity(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, toxic int")
     assert toxicity.score(odd, toxicity.fit(odd, labels)).where("score between 0 and 1").count() == 8
