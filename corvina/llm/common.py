@@ -15,14 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where the
-    session names none (local tests) is a temporary folder set.
+    The folder is shared_folder(); files go with their frame where the
+    session sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session (``local[...]``: one machine) that names none gets a
+    temporary folder; elsewhere that is an error, as executors would not see it.
+    """
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvina-checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
 
 
 def texts(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -35,13 +47,29 @@ def fold_of(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-#: Texts have no bound on their length, so no more rows of them than this make an Arrow batch.
-TEXT_ROWS = 2_000
 
+def private(df: DataFrame, name: str) -> str:
+    """The name, or one made of it that no column of ``df`` has (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """The frame itself; from here on its session sends Python at most TEXT_ROWS rows at a time."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= TEXT_ROWS:
-        conf.set(name, str(TEXT_ROWS))
-    return df
+
+#: Keys that join_hot calls hot, at most.
+HOT_KEYS = 5_000
+
+
+def join_hot(rows: DataFrame, by: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` (cut off by a checkpoint) with ``by``, which has one row per key; ``count`` tells how many rows have the key.
+
+    Keys of many rows are dealt out by a salt. A key is hot from a share of
+    the rows on, so the list of hot keys, which is broadcast, is bounded.
+    """
+    limit = max(256, rows.count() // HOT_KEYS)
+    by = cut(by.withColumn("_chunks", F.greatest(F.ceil(F.col(count) / limit), F.lit(1)).cast("int")))
+    hot = by.where("_chunks > 1").select(F.col(key).alias("_hot"), F.col("_chunks").alias("_of"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.coalesce("_of", F.lit(1))).cast("int")).drop("_row", "_hot", "_of")
+    by = by.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).drop("_chunks", count)
+    return rows.join(by, [key, "_salt"]).drop("_salt")

@@ -4,7 +4,8 @@ Every round is a few aggregations and joins over (node, neighbour) rows; no
 node's neighbours are ever gathered, and each round is cut off by a reliable
 checkpoint. Before the rounds, every task replaces its share of the edges by
 a spanning forest, so that what is dealt out is at most one edge per node
-and task.
+and task. No more than ``CHUNK`` edges are finished by one task, which saves
+the rounds; more never come together.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corvina.llm.common import cut
 
-#: Edges that a task contracts at a time; only a bound on memory.
+#: Edges that a task contracts at a time; only a bound on memory (16 MB).
 CHUNK = 500_000
 
 
@@ -43,9 +44,9 @@ def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     a, b = np.empty(0, np.int64), np.empty(0, np.int64)
     for f in frames:
         a, b = np.concatenate([a, f["a"].to_numpy(np.int64)]), np.concatenate([b, f["b"].to_numpy(np.int64)])
-        if len(a) > CHUNK:
+        if len(a) > 2 * CHUNK:
             a, b = forest(a, b)
-            if len(a) > CHUNK // 2:  # what can't be made less goes on its way
+            if len(a) > CHUNK:  # what can't be made less goes on its way
                 yield pd.DataFrame({"a": a, "b": b})
                 a, b = np.empty(0, np.int64), np.empty(0, np.int64)
     if len(a):
@@ -67,7 +68,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     state = seen(edges)
     for _ in range(max_rounds):
-        if not state[0]:
+        if state[0] <= CHUNK:
+            edges = edges.coalesce(1).mapInPandas(_contract, "a long, b long") if state[0] else edges
             break
         # large-star: a node's larger neighbours go to its smallest neighbour or itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -19,13 +19,14 @@ large for that (``sampled_tables``), the tables are fixed samples of bits.
 A bucket is one run of rows in a sorted partition. Within it a traversal
 emits a spanning forest of the links, not all pairs. Buckets of more than
 ``BUCKET`` fingerprints are dealt out as pairs of chunks, each a task's work.
-Equal fingerprints are one node from the start, named by the smallest id.
+Equal fingerprints are one node from the start, named by the fingerprint
+itself, so rows without an id and ids that repeat keep every link.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvina.llm.common import cut, text_batches
+from corvina.llm.common import cut, join_hot
 from corvina.llm.components import components
 
 #: Fingerprints that one traversal holds; larger buckets are split into pairs of chunks.
@@ -78,7 +79,12 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42, d
         hashes = [digest(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[shingle - 1 :])]
     if distinct:
         hashes = list(set(hashes))
-    h, half, out = np.array(hashes, dtype=np.uint64), len(hashes) / 2, []
+    return majority(np.array(hashes, dtype=np.uint64), words)
+
+
+def majority(h: np.ndarray, words: int = 1) -> bytes:
+    """Bits set in over half of the hashes and of ``words - 1`` further hashes made of each; no hashes: all bits zero."""
+    half, out = len(h) / 2, []
     for k in range(words):
         x = _more(h, k)
         ones = np.zeros(64, np.int64)
@@ -170,7 +176,27 @@ def link(fps: np.ndarray, reps: np.ndarray, radius: int, pivots: np.ndarray) ->
     return a, b
 
 
-def _linked(radius: int, words: int):
+def nearest(fps: np.ndarray, reps: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[list, list]:
+    """Spanning forest of the links among the rows that has the least distances: every tree grows by its nearest row."""
+    table = _distances(fps, pivots)
+    best, parent = np.full(len(reps), radius + 1), np.full(len(reps), -1)
+    left, now = np.arange(1, len(reps)), 0
+    a, b = [], []
+    while len(left):
+        near = left[(np.abs(table[left] - table[now]) <= radius).all(axis=1)]
+        distance = np.bitwise_count(fps[near] ^ fps[now]).sum(axis=1)
+        less = distance < best[near]
+        best[near[less]], parent[near[less]] = distance[less], now
+        at = int(best[left].argmin())
+        now = int(left[at])
+        if best[now] <= radius:
+            a.append(int(reps[parent[now]]))
+            b.append(int(reps[now]))
+        left = np.delete(left, at)
+    return a, b
+
+
+def _linked(radius: int, words: int, forest: Callable):
     """Sorted rows (tab, key, i, j, rep, fp) -> edges (a, b)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +224,7 @@ def _linked(radius: int, words: int):
                 a += reps[x].tolist()
                 b += reps[x + step].tolist()
             for s, e in zip(starts[size > SMALL], ends[size > SMALL]):
-                x, y = link(fps[s:e], reps[s:e], radius, pivots)
+                x, y = forest(fps[s:e], reps[s:e], radius, pivots)
                 a += x
                 b += y
             return pd.DataFrame({"a": a, "b": b}, dtype="int64") if a else None
@@ -231,7 +257,11 @@ def _linked(radius: int, words: int):
 
 def edges(nodes: DataFrame, radius: int, words: int, tables: list[np.ndarray]) -> DataFrame:
     """Edges (a, b) between different fingerprints (rep long, fp binary); every component of the links is connected by them."""
-    keyed = nodes.mapInPandas(_keyed(tables, words), "tab int, key long, rep long, fp binary")
+    return bucket_edges(nodes.mapInPandas(_keyed(tables, words), "tab int, key long, rep long, fp binary"), radius, words)
+
+
+def bucket_edges(keyed: DataFrame, radius: int, words: int, forest: Callable = link) -> DataFrame:
+    """Edges (a, b) of the links within the buckets (tab int, key long) of rows (rep long, fp binary); each bucket's are connected by a forest."""
     # only buckets over BUCKET are listed: at most one for every so many rows
     large = cut(keyed.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET))
     number = large.count()
@@ -245,7 +275,7 @@ def edges(nodes: DataFrame, radius: int, words: int, tables: list[np.ndarray]) -
         keyed = keyed.withColumn("c", F.lit(0)).withColumn("other", F.lit(0))
     keyed = keyed.select("tab", "key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), "rep", "fp")
     keyed = keyed.repartition("tab", "key", "i", "j").sortWithinPartitions("tab", "key", "i", "j", "rep")
-    return keyed.mapInPandas(_linked(radius, words), "a long, b long")
+    return keyed.mapInPandas(_linked(radius, words, forest), "a long, b long")
 
 
 def classes(
@@ -262,12 +292,22 @@ def classes(
 
     Defined results: null text is empty text; texts without words share the
     zero fingerprint and so a class; repeated rows give repeated rows; rows
-    with a null id give a null component unless their class has an id; an
-    empty table gives an empty table.
+    of one id with different texts are linked each by its own fingerprint;
+    rows with a null id link like any other and get the smallest id of their
+    class, null if none of it has an id; an empty table gives an empty table.
     """
     tables = tables or block_tables(64 * words, radius + 2, radius)
-    prints = cut(text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle, words, distinct).alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(edges(nodes.where("rep is not null"), radius, words, tables))
-    named = nodes.join(linked, nodes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col), shingle, words, distinct).alias("fp")))
+    name = _as_long if words == 1 else F.xxhash64
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("rep", name("fp")))
+    linked = components(edges(nodes.select("rep", "fp"), radius, words, tables))
+    named = nodes.join(linked, nodes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("part"), "least", "n")
+    ids = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    named = named.join(ids, "part").select("fp", "n", "component_id")
+    return join_hot(prints, named, "fp", "n").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def _as_long(fp: str) -> Column:
+    """8 bytes as a signed number, one to one."""
+    half = lambda at: F.conv(F.hex(F.substring(fp, at, 4)), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(5))
