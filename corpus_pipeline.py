@@ -1,20 +1,19 @@
 """From raw documents to a training mixture, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
-last return the columns of ``docs``. Rows that repeat an id stay or go
-together; rows with null ids or texts go through every stage.
+last return the columns of ``docs``. Every row is judged by itself, whether
+its id is null or repeats; rows with null texts go through every stage.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvina.llm import jaccard, latent, mixing, secrets, toxicity
-from corvina.llm.common import table, text_batches
+from corvina.llm import latent, mixing, neardup, secrets, toxicity
+from corvina.llm.common import cut, private, shared_folder, table
 from corvina.llm.queries import MIXTURE
 
 #: Documents from this score on are rejected as toxic, as op4_toxicity predicts.
@@ -33,23 +32,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id; rows without an id can't be told apart and stay."""
-    found = jaccard.classes(docs, SIMILARITY, SHINGLE)
-    others = found.where("doc_id != component_id").select(F.col("doc_id").alias(_KEY)).distinct()
-    return docs.join(others, docs["doc_id"] == others[_KEY], "left_anti")
+    """Of each class of near-duplicates the row with the smallest id (null ids last), once if it repeats."""
+    found = cut(neardup.classes(docs, SIMILARITY, SHINGLE))
+    own = private(docs, _KEY)
+    keyed = docs.withColumn(own, neardup.row_key("doc_id", "text"))
+    others = found.where("not stays").select(F.col("row_key").alias(own)).distinct()
+    left = keyed.join(others, own, "left_anti")
+    again = cut(found.where("stays").groupBy(F.col("row_key").alias(own)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(own))
+    if again.limit(1).count():
+        left = left.join(again, own, "left_anti").unionByName(left.join(again, own, "left_semi").dropDuplicates([own]))
+    return left.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    keyed = docs.withColumn(_KEY, F.xxhash64("doc_id", "text"))
-    found = latent.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col=_KEY)
-    leaks = found.where("contaminated").select(F.col("doc_id").alias(_KEY)).distinct()
-    return keyed.join(leaks, _KEY, "left_anti").select(*docs.columns)
+    own = private(docs, _KEY)
+    keyed = docs.withColumn(own, neardup.row_key("doc_id", "text"))
+    found = latent.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col=own)
+    leaks = found.where("contaminated").select(F.col("doc_id").alias(own)).distinct()
+    return keyed.join(leaks, own, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts masked and n_chars brought up to date."""
-    masked = text_batches(docs).withColumn("text", secrets.redacted(F.col("text")))
+    masked = docs.withColumn("text", secrets.redacted(F.col("text")))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return masked.select(*docs.columns)
@@ -73,11 +79,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; between stages the rows are written to the shared checkpoint folder and read again."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvina-pipeline-")
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents; between stages the rows are written to the shared checkpoint folder and read again.
+
+    The rows that a stage read are removed when the next stage has written
+    its own; the last stage's input stays, as the result is read from it.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = f"{folder}/pipeline-{uuid.uuid4().hex}/{name}"
+        path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
