@@ -72,8 +72,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold_of("doc_id", 4) == 2
     model = toxicity.fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
-    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.column(docs, model, F.col("text")).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.scorer(docs, model)(F.col("text")).alias("_t"))
+    score = F.col("_t.score")
+    return scored.select("doc_id", "held_out", score.alias("score"), (score >= 0.3).cast("int").alias("predicted"), toxicity.offsets(F.col("_t.spans")).alias("spans"))
 
 
 QUERIES["op4_toxicity"] = op4_toxicity

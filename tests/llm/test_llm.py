@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -94,6 +95,29 @@ def test_secret_columns(spark):
         assert r["n_assign"] == sum(k == "assign" for k, _, _ in want)
 
 
+def test_long_runs_take_linear_time():
+    began = time.perf_counter()
+    part = "eyJhIjoxfQ"  # {"a":1}
+    n = 1_000_000
+    assert secrets.find("eyJ" * n) == [] and secrets.find("eyJ" * n + "." + "eyJ" * n) == []
+    t = "eyJ" * n + "." + part + "." + part + ".sig"
+    assert [(k, a) for a, k, _ in secrets.find(t)] == [("jwt", 3 * n + 1)]
+    assert [k for _, k, _ in secrets.find("eyJx" + "-----BEGIN " * 100_000 + "eyJ." * 100_000 + part + "." + part + ".s")] == ["jwt"]
+    assert [k for _, k, _ in secrets.find("-----BEGIN PRIVATE KEY-----" + "A" * 300_000 + "-----BEGIN PRIVATE KEY-----" * 20_000)] == []
+    assert time.perf_counter() - began < 4
+
+
+def test_tokens_within_a_run():
+    part = "eyJhIjoxfQ"
+    for t, want in ((f"x{part}.{part}.s", [1]), (f"eyJ.{part}.{part}.{part}.s", [4]), (f"eyJ_{part}.{part}.s", []), (f"eyJx.{part}.{part}.s {part}.{part}.s", [5, 29])):
+        assert [a for a, k, _ in secrets.find(t) if k == "jwt"] == want, t
+
+
+def test_odd_documents_in_secrets(spark, odd, empty):
+    got = secrets.scan_documents(odd.withColumn("spans", F.lit("x"))).collect()
+    assert len(got) == 8 and all(r["spans"] == [] for r in got) and secrets.scan_documents(empty).count() == 0
+
+
 # ---- token counts
 
 
@@ -192,6 +216,49 @@ def test_neighbours_recall_and_ties(spark):
     assert got[0] == want[0] and got[300] == want[300]
 
 
+def test_ids_with_several_vectors(spark):
+    """An id is as near as its nearest vector, and listed once; other columns may have inner names."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((200, 8)) * r.uniform(0.5, 2, (200, 1))  # of unequal length
+    ids = np.r_[np.arange(150), np.arange(50)]
+    x[160] = x[33]
+    d = spark.createDataFrame([(int(i), [float(c) for c in v], 1, 2) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, node int, query int")
+    got = {}
+    for row in crosspolytope.nearest(d, F.col("vec_id") % 20 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+    assert set(got) == set(range(0, 150, 20))
+    hits = 0
+    for q, found in got.items():
+        best = {}
+        for i, v in zip(ids, x):
+            if i != q:
+                best[int(i)] = max([best.get(int(i), -np.inf), *((x[j] * v).sum() for j in np.flatnonzero(ids == q))])
+        want = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:5]
+        assert len({i for i, _ in found}) == 5 and all(best[i] == s for i, s in found) and found == sorted(found, key=lambda e: (-e[1], e[0]))
+        hits += len(set(found) & set(want))
+    assert hits >= 0.9 * 5 * len(got)
+
+
+def test_probes_come_best_first():
+    r = np.random.default_rng(1)
+    for bits in (1, 4, 7, 9, 15):
+        h = crosspolytope.Hashes(30, 1.0, True, 2, bits, 3)
+        d = h.directions(r.standard_normal((5, 30)), True)
+        p = h.probes(d, 1).reshape(5, 2)
+        assert (p == h.buckets(d)).all()
+        most = h.probes(d, 40).reshape(5, 2, -1)
+        assert all(len(set(q)) == len(q) == min(40, 1 << bits) for row in most for q in row) and (most[:, :, 0] == p).all()
+        if bits == 9:  # against all buckets
+            gaps = []
+            for j in range(len(h.axes)):
+                y = h._transformed(d, 0, j)
+                y = np.stack([-y, y], axis=2).reshape(5, -1)
+                gaps.append((y.max(axis=1, keepdims=True) - y) ** 2)
+            every = (gaps[0][:, :, None] + gaps[1][:, None, :]).reshape(5, -1)
+            for i in range(5):
+                assert np.allclose(np.sort(every[i])[:40], every[i][most[i, 0]])
+
+
 def test_few_vectors(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in crosspolytope.nearest(d, F.col("vec_id") % 20 == 0).collect())
@@ -257,6 +324,41 @@ def test_odd_documents_in_simhash(odd, empty):
     assert {r["component_id"] for r in got if r["doc_id"] in (2, 3, 5)} == {2}
 
 
+def test_null_and_repeated_ids_keep_links(spark):
+    """Links over a row without an id hold; two texts of one id don't join their classes."""
+    a, b, c = "uno dos tres", "cuatro cinco seis siete", "otro mas"
+    prints = {t: fingerprint(t) for t in (a, b, c)}
+    rows = [(3, a), (None, a), (7, b), (3, b), (None, c), (None, c), (9, None), (9, a)]
+    got = sorted((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] != 9)
+    h = {t: f"{p:016x}" for t, p in prints.items()}
+    assert got == sorted([("3", h[a], 3), ("None", h[a], 3), ("7", h[b], 3), ("3", h[b], 3), ("None", h[c], None), ("None", h[c], None)])
+    # a chain whose middle has no id: x - y - z, with x and z more than 3 bits apart
+    fps = [(1, 0b0), (None, 0b111), (5, 0b111111), (5, 0b111111 << 40), (8, 0b11111 << 40)]
+    original = simhash.fingerprints
+    try:
+        simhash.fingerprints = lambda text, *_: text.cast("binary")
+        raw = spark.createDataFrame([(i, bytearray(p.to_bytes(8, "big"))) for i, p in fps], "doc_id long, text binary")
+        got = sorted((str(r["doc_id"]), r["component_id"]) for r in simhash.classes(raw).collect())
+    finally:
+        simhash.fingerprints = original
+    assert got == [("1", 1), ("5", 1), ("5", 5), ("8", 5), ("None", 1)]
+
+
+def test_nearest_forest_is_minimal():
+    r = np.random.default_rng(3)
+    pivots = r.integers(0, 2**64, (8, 1), dtype=np.uint64)
+    for n in (2, 9, 40):
+        fps = r.integers(0, 1 << 12, (n, 1), dtype=np.uint64)
+        a, b = simhash.nearest(fps, np.arange(n), 4, pivots)
+        distance = np.bitwise_count(fps ^ fps.T)
+        every = sorted((int(distance[i, j]), i, j) for i in range(n) for j in range(i) if distance[i, j] <= 4)
+        part, want = list(range(n)), 0
+        for w, i, j in every:
+            if part[i] != part[j]:
+                part, want = [part[j] if p == part[i] else p for p in part], want + w
+        assert sum(int(distance[i, j]) for i, j in zip(a, b)) == want and len(a) == n - len(set(part))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 7), (7, 5), (9, 9)], "a long, b long")
     got = {r["node"]: r["component"] for r in components.components(e).collect()}
@@ -512,7 +614,7 @@ def test_poisson_counts(spark, odd, empty):
     assert keys == sorted(keys)
     again = mixing.replicate(d.repartition(7), {"a": 1.0, "b": 3.0})
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, again.collect()))
-    assert mixing.replicate(odd).where("source is null").count() >= 0 and mixing.replicate(empty).count() == 0
+    assert {r["source"] for r in mixing.replicate(odd, epochs=9.0).collect()} == {"a", "b", "c", None} and mixing.replicate(empty).count() == 0
 
 
 def test_many_sources(spark, monkeypatch):
@@ -520,3 +622,29 @@ def test_many_sources(spark, monkeypatch):
     want = sorted(map(tuple, mixing.replicate(d).collect()))
     monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
     assert sorted(map(tuple, mixing.replicate(d).collect())) == want
+
+
+def test_names_that_clash(spark):
+    names = ["_u", "_source", "_rate", "_table", "_salt", "_own_salt", "_range", "_from", "_n", "_cdf"]
+    d = spark.createDataFrame([(i, f"t{i}", "a", *names) for i in range(50)], ["doc_id", "text", "source", *names])
+    out = mixing.replicate(d, epochs=3.0)
+    assert out.columns == [*d.columns, *mixing.ADDED] and 90 < out.count() < 210 and out.where("_rate = '_rate' and _u = '_u'").count() == out.count()
+    with pytest.raises(ValueError):
+        mixing.replicate(d.withColumn("Rate", F.lit(1)))
+
+
+@pytest.mark.parametrize("rate", [0.2, 3.0, 150.0, 900.0, 50_000.0])
+def test_tables_of_the_distribution(spark, rate):
+    t = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("t")).first()["t"]
+    ks = np.arange(0, t["low"] + len(t["cdf"]))
+    want = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in ks])[t["low"] :]
+    assert np.allclose(t["cdf"], want, atol=1e-7) and abs(t["cdf"][-1] - 1) < 1e-7 and t["cdf"][0] < 1e-12 or t["low"] == 0 and np.allclose(t["cdf"], want, atol=1e-9)
+
+
+def test_rows_of_many_copies(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"t{i}", "a" if i else "b") for i in range(400)], "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.replicate(d, epochs=9.0).collect()))
+    rare = [r for r in want if r[2] == "b"]
+    assert abs(len(rare) - 1800) < 300 and sorted(r[3] for r in rare) == list(range(1, len(rare) + 1))
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    assert sorted(map(tuple, mixing.replicate(d, epochs=9.0).collect())) == want

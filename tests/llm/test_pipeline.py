@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from corvina.llm import jaccard, secrets
+from corvina.llm import neardup, secrets
 
 WORDS = ["".join(random.Random(i).choice(("ka", "lo", "mi", "ne", "ru")) for _ in range(1 + i % 4)) + str(i % 7) for i in range(3000)]
 
@@ -43,17 +43,22 @@ def test_stages_one_after_another(spark, tmp_path):
     toxic = {i for i in range(0, 300, 6)}
     assert len(toxic & set(kept["toxicity"])) <= 2 and len(set(docs) - toxic - set(kept["toxicity"])) <= 3
     left = set(kept["near_duplicates"])
-    assert 1001 not in left and 1002 not in left and {7, 13} <= left and set(kept["toxicity"]) - left == {1001, 1002}
+    assert 1001 not in left and 1002 not in left and {7, 13} <= left and set(kept["toxicity"]) - left == {1001, 1002, None}  # a null text is an empty one, as 2000 has
     assert set(kept["near_duplicates"]) - set(kept["decontamination"]) == {1000}
     assert set(kept["secrets"]) == set(kept["decontamination"]) and "0123456789abcdef" not in kept["secrets"][1003] and not secrets.find(kept["secrets"][1003])
     mixed = pipeline.STAGES[-1][1](spark, at, str(tmp_path))
     assert mixed.count() > 0 and {"copy", "n_copies"} <= set(mixed.columns)
 
 
-def test_rows_without_ids_stay(spark, tmp_path):
-    rows = [(1, "uno dos tres cuatro cinco seis", "es", "a", 30), (None, "uno dos tres cuatro cinco seis", "es", "a", 30), (None, "otra cosa distinta por completo aqui", None, None, None)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    assert pipeline.drop_near_duplicates(spark, d, str(tmp_path)).count() == 3
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    """Rows without an id, rows that repeat, and one id with two texts; a column with an inner name."""
+    a, b = "uno dos tres cuatro cinco seis", "otra cosa distinta por completo aqui"
+    rows = [(1, a, "es"), (None, a, "de"), (None, b, None), (None, b, "x"), (2, b, "y"), (3, a + " siete", "z"), (3, "nada de eso ni de lo otro", "z"), (4, "cuatro", "u"), (4, "cuatro", "v"), (None, None, "n"), (None, "solo sin id", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _pipeline_row_key string")
+    out = pipeline.drop_near_duplicates(spark, d, str(tmp_path))
+    assert out.columns == d.columns
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in out.collect())
+    assert got == sorted([("1", a), ("2", b), ("3", a + " siete"), ("3", rows[6][1]), ("4", "cuatro"), ("None", "None"), ("None", "solo sin id")])
 
 
 def shingled(t):
@@ -61,10 +66,9 @@ def shingled(t):
     return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
 
 
-@pytest.mark.parametrize("banded", [True, False])
-def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch, banded):
-    if not banded:  # the join alone is complete
-        monkeypatch.setattr(jaccard, "_bands", lambda own: [])
+@pytest.mark.parametrize("block", [2_048, 24])
+def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)  # large classes are compared in blocks
     line = text(5000, 12)  # one very common line
     docs = {i: text(i, 30 + i) + (" " + line if i % 2 else "") for i in range(100)}
     for k in range(200):  # copies of 12 texts with more and more changed words: similarities all around the limit
@@ -73,9 +77,15 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch, banded)
         for _ in range(1 + k % 9):
             ws[r.randrange(len(ws))] = f"new{r.random()}"
         docs[1000 + k] = " ".join(ws[k % 4 :])
+    for k in range(150):  # one large group of near copies
+        r = random.Random(9000 + k)
+        ws = text(6500, 150).split()
+        for _ in range(1 + k % 12):
+            ws[r.randrange(len(ws))] = f"new{r.random()}"
+        docs[3000 + k] = " ".join(ws)
     docs |= {2000: "", 2001: None, 2002: "uno dos", 2003: "Uno  DOS", 2004: docs[5], 2005: " ".join(line.split()[:6]), 2006: " ".join(line.split()[:7])}
-    rows = [*docs.items(), (None, docs[7]), (None, None), (5, docs[1000])]  # an id again, with another text
-    sets = [(i, shingled(t)) for i, t in rows if i is not None]
+    rows = [*docs.items(), (None, docs[7]), (None, None), (5, docs[1000]), (None, text(1, 40))]  # an id again, with another text
+    sets = [(i, shingled(t)) for i, t in rows]
     part = list(range(len(sets)))
     at_limit = 0
     for x, (_, a) in enumerate(sets):
@@ -85,11 +95,11 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch, banded)
             if 5 * both >= 4 * either and part[x] != part[y]:
                 part = [part[y] if p == part[x] else p for p in part]
     assert at_limit > 100
-    least = {p: min(i for (i, _), q in zip(sets, part) if p == q) for p in set(part)}
-    drop = {i for (i, _), p in zip(sets, part) if i != least[p]}
+    ids = [10**9 if i is None else i for i, _ in sets]
+    want = sorted(min(i for i, q in zip(ids, part) if p == q) for p in set(part))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     got = [r["doc_id"] for r in pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()]
-    assert sorted(i for i in got if i is not None) == sorted(i for i, _ in sets if i not in drop) and got.count(None) == 2
+    assert sorted(10**9 if i is None else i for i in got) == want
     assert pipeline.drop_near_duplicates(spark, d.limit(0), str(tmp_path)).count() == 0
 
 
