@@ -576,6 +576,11 @@ WHOLE = {
     "closing": f"<body><h1>Head</h1>{f'<p>{LINE * 3}</p>' * 5}<h3>So</h3><p>Ok.</p></body>",
     "closing of one part": f"<body><div class=a><p>{LINE * 3}</p></div><div class=b>{f'<p>{LINE * 3}</p>' * 5}<h3>So</h3><div>Ok.</div></div></body>",
     "links": f"<body><article><h1>Head</h1>{f'<p>{LINE * 3}</p>' * 5}<ul><li><a href=x>A source</a></li></ul></article></body>",
+    "named title": f'<body><article><div class="entry-header"><h1>Head</h1><p class="byline meta">By A. Writer</p></div>{f"<p>{LINE * 3}</p>" * 5}</article></body>',
+    "named part": f'<body><article><h1>Head</h1><section id="search">{f"<p>{LINE * 3}</p>" * 5}</section><section class="side">{f"<p>{LINE * 3}</p>" * 2}</section></article></body>',
+    "named part beside the text": f'<body><div class=q><div class="post-header"><h1>Head</h1></div>{f"<p>{LINE * 3}</p>" * 5}</div></body>',
+    "named wrapper": f'<body><div class="layout with sidebar"><article><h1>Head</h1>{f"<p>{LINE * 3}</p>" * 5}</article></div></body>',
+    "a line that is a link": f"<body><article><h1>Head</h1><p>{LINE * 3}</p><p><a href=x>{LINE}</a></p><p>{LINE * 3}</p></article></body>",
     "title": f"<body><main><h1>Head</h1><article>{f'<p>{LINE * 3}</p>' * 5}</article></main></body>",
 }
 
@@ -594,6 +599,42 @@ def test_menus_beside_the_text_stay_out():
         assert tagpath.main_text(page) == " ".join([*(LINE * 15).split()])
 
 
+def test_formulas_stay():
+    assert tagpath.main_text(f"<article><p>{LINE}So <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup></math>, which holds.</p></article>") == LINE + "So x=y2, which holds."
+
+
+def test_names_that_tell_nothing():
+    """Menus, adverts and footers known by their ratios alone."""
+    links = "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(8))
+    text = f"<div class=k3><h1>Head</h1>{f'<p>{LINE * 3}</p>' * 6}<h2>More</h2>{f'<p>{LINE * 2}</p>' * 3}</div>"
+    page = f"<body><div class=k1><ul>{links}</ul></div><div class=k2>{text}</div><div class=k4><ul>{links}</ul></div><div class=k5><a href=q>Contact</a> 2024 Site</div></body>"
+    assert tagpath.main_text(page) == " ".join(["Head", *(LINE * 18).split(), "More", *(LINE * 6).split()])
+
+
+def test_comments_stay_out():
+    thread = "".join(f"<div class=c><p>{LINE * 4}</p></div>" for _ in range(30))
+    for name in ('id="comments"', 'class="post-comments"'):
+        assert tagpath.main_text(f"<body><article><h1>Head</h1>{f'<p>{LINE * 3}</p>' * 4}<section {name}>{thread}</section></article></body>") == " ".join(["Head", *(LINE * 12).split()])
+
+
+def test_pages_take_linear_time():
+    began = time.perf_counter()
+    deep = "<div>" * 100_000
+    assert tagpath.main_text(deep + "text") == "text"
+    assert tagpath.main_text("<x-a>" * 50_000 + f"<p>{LINE}") == LINE.strip()
+    tagpath.main_text("<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "t")
+    tagpath.main_text("<a " * 350_000)
+    tagpath.main_text("<script" * 100_000 + "</script " * 50_000)
+    assert len(tagpath.main_text("<p>" + LINE * 50_000)) == len(LINE) * 50_000 - 1
+    assert time.perf_counter() - began < 12
+
+
+def test_odd_pages(spark):
+    d = spark.createDataFrame([(1, "u", "<p>a, b.</p>"), (1, "u", "<p>a, b.</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string")
+    got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in tagpath.extract_pages(d).collect())
+    assert got == [("1", "a, b.", 5), ("1", "a, b.", 5), ("2", "", 0), ("None", "", 0)] and tagpath.extract_pages(d.limit(0)).count() == 0
+
+
 def test_page_columns(spark):
     d = spark.createDataFrame([(1, None, "<p>é, x</p>", "clash"), (None, "u", None, "clash")], "page_id long, url string, html string, text string")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in tagpath.extract_pages(d).collect()) == [("1", "é, x", 4), ("None", "", 0)]
