@@ -1,13 +1,15 @@
 """Class-based n-gram language model with classes from exchange clustering.
 
-Training counts all words. The ``UNITS`` most frequent words are clustered
-one by one; all other words, unseen ones included, belong to one of
-``GROUPS`` units by a hash of their last characters, so that every word has a
-class. Bigram counts of units, packed by blocks of units, are the statistics
-of the exchange: in each round every block's task finds for half of its
-units the class under which the log-likelihood of their left and right
-contexts is highest, given the class bigrams of the round before; the round
-with the best likelihood is kept.
+Training counts all words. Those that occur ``LEAST`` times or more, at most
+the ``KNOWN`` most frequent, are units that are clustered one by one, so their
+number grows with the corpus up to what is broadcast; all other words, unseen
+ones included, belong to one of ``GROUPS`` units by a hash of their last
+characters, so that every word has a class. Bigram counts of units, dealt
+out to blocks and merged in two steps, are the statistics of the exchange: in
+each round every block's task finds for half of its units the class under
+which the log-likelihood of their left and right contexts is highest, given
+the class bigrams of the round before; the round with the best likelihood is
+kept.
 
 A text's probability is the product over its tokens of P(class | class
 before), interpolated with P(class), and P(word | class) with add-1/2
@@ -30,19 +32,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm.common import cut
 
-CLASSES, UNITS, GROUPS, KNOWN = 64, 16_000, 1_024, 250_000
+CLASSES, LEAST, GROUPS, KNOWN = 64, 5, 1_024, 250_000
 #: Words over so many bytes are never broadcast, only joined.
 LONGEST = 64
-ROUNDS, BLOCKS = 10, 96
+ROUNDS, BLOCKS = 10, 192
+#: Parts of a block's counts that are merged at first, by a hash of the task that counted them.
+SALTS = 8
 #: Pseudo-count of the class unigram in P(class | class before).
 KAPPA = 5.0
 #: Distinct words and tokens that a task holds before it passes on what it counted.
-HELD_WORDS, HELD_TOKENS = 150_000, 2_000_000
+HELD_WORDS, HELD_TOKENS = 150_000, 1_000_000
 END = b""
 
 
@@ -127,6 +132,11 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, weights=np.concatenate([c for _, c in parts])).astype(np.int64)
 
 
+def _place(unit: np.ndarray, width: int) -> np.ndarray:
+    """Units in the order of their blocks: each block has every BLOCKS-th unit, so frequent ones are spread."""
+    return unit % BLOCKS * width + unit // BLOCKS
+
+
 def contexts(docs: DataFrame, shared, total_units: int) -> DataFrame:
     """block, right, left: for the units of a block, packed counts of (unit, next) and (unit, before)."""
     width = -(-total_units // BLOCKS)
@@ -134,19 +144,19 @@ def contexts(docs: DataFrame, shared, total_units: int) -> DataFrame:
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = _Memo(Words(*shared.value))
         held: list[np.ndarray] = []
-        size = 0
+        size, salt = 0, TaskContext.get().partitionId() % SALTS
 
         def out() -> pd.DataFrame:
             a = np.concatenate([x[:-1] for x in held])
             b = np.concatenate([x[1:] for x in held])
             rows = []
-            for kind, key in (("right", a * total_units + b), ("left", b * total_units + a)):
+            for kind, key in (("right", _place(a, width) * total_units + b), ("left", _place(b, width) * total_units + a)):
                 keys, counts = np.unique(key, return_counts=True)
-                block = keys // total_units // width
+                block = keys // total_units // width  # units are dealt out to blocks in turn
                 cuts = np.flatnonzero(np.diff(block)) + 1
                 for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
-                    rows.append((int(block[s]), kind, _pack(keys[s:e], counts[s:e])))
-            return pd.DataFrame(rows, columns=["block", "kind", "blob"])
+                    rows.append((int(block[s]), salt, kind, _pack(keys[s:e], counts[s:e])))
+            return pd.DataFrame(rows, columns=["block", "salt", "kind", "blob"])
 
         for f in frames:
             for t in f["text"]:
@@ -164,34 +174,38 @@ def contexts(docs: DataFrame, shared, total_units: int) -> DataFrame:
             yield out()
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = np.empty(0, np.int64), np.empty(0, np.int64)
-        block, parts, size = None, {}, 0
+        own, parts, size = None, [], 0
 
         def packed():
-            return pd.DataFrame([(block, *(_pack(*_merged(parts.get(k) or [empty])) for k in ("right", "left")))], columns=["block", "right", "left"])
+            return pd.DataFrame([(own[0], own[1], _pack(*_merged(parts)))], columns=["block", "kind", "blob"])
 
         for f in frames:
-            for b, kind, blob in f.itertuples(index=False):
-                if block is not None and b != block:
+            for block, kind, blob in f[["block", "kind", "blob"]].itertuples(index=False):
+                if own is not None and own != (block, kind):
                     yield packed()
-                    parts, size = {}, 0
-                block = b
-                parts.setdefault(kind, []).append(_unpack(bytes(blob)))
-                size += len(parts[kind][-1][0])
+                    parts, size = [], 0
+                own = (block, kind)
+                parts.append(_unpack(bytes(blob)))
+                size += len(parts[-1][0])
                 if size > 4_000_000:  # a block can hold at most its units times all units
-                    parts = {k: [_merged(v)] for k, v in parts.items()}
-                    size = sum(len(v[0][0]) for v in parts.values()) // 2
-        if block is not None:
+                    parts = [_merged(parts)]
+                    size = len(parts[0][0]) // 2
+        if own is not None:
             yield packed()
 
-    counted = docs.mapInPandas(count, "block int, kind string, blob binary")
-    return counted.repartition("block").sortWithinPartitions("block").mapInPandas(merge, "block int, right binary, left binary")
+    once = docs.mapInPandas(count, "block int, salt int, kind string, blob binary")
+    once = once.repartition("block", "salt").sortWithinPartitions("block", "kind").mapInPandas(merge, "block int, kind string, blob binary")
+    merged = once.repartition("block").sortWithinPartitions("block", "kind").mapInPandas(merge, "block int, kind string, blob binary")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("blob"))).alias(kind)
+    return merged.groupBy("block").agg(of("right"), of("left"))
 
 
-def _sum_by_class(packed: bytes, total_units: int, low: int, high: int, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    keys, counts = _unpack(packed)
+def _sum_by_class(packed: bytes | None, total_units: int, low: int, number: int, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    if packed is None:
+        return np.zeros((number, n_classes))
+    keys, counts = _unpack(bytes(packed))
     u, v = keys // total_units - low, classes[keys % total_units]
-    return np.bincount(u * n_classes + v, weights=counts, minlength=(high - low) * n_classes).reshape(-1, n_classes)
+    return np.bincount(u * n_classes + v, weights=counts, minlength=number * n_classes).reshape(-1, n_classes)
 
 
 def _likelihood(n: np.ndarray) -> float:
@@ -217,23 +231,22 @@ def exchange(stats: DataFrame, total_units: int, n_classes: int, rounds: int, fi
             classes, n = now.value
             for f in frames:
                 for block, right, left in f.itertuples(index=False):
-                    low, high = block * width, min(total_units, (block + 1) * width)
-                    r = _sum_by_class(bytes(right), total_units, low, high, classes, n_classes)
-                    own = classes[low:high]
+                    units = np.arange(block, total_units, BLOCKS)
+                    r = _sum_by_class(right, total_units, block * width, len(units), classes, n_classes)
+                    own = classes[units]
                     pairs = np.zeros((n_classes, n_classes))
                     np.add.at(pairs, own, r)
                     new = own
                     if n is not None:
-                        le = _sum_by_class(bytes(left), total_units, low, high, classes, n_classes)
+                        le = _sum_by_class(left, total_units, block * width, len(units), classes, n_classes)
                         m = n + 0.1
                         into = np.log(m / m.sum(axis=1, keepdims=True))  # [before, class]
                         score = le @ (into - np.log(m.sum(axis=0))) + r @ into.T
                         score[:, free:] = -np.inf
-                        units = np.arange(low, high)
                         moves = ((units * 2654435761 >> 7) + k) % 2 == 0
                         moves &= units != fixed
                         new = np.where(moves, score.argmax(axis=1), own)
-                    yield pd.DataFrame({"block": [block], "classes": [new.astype("<i4").tobytes()], "pairs": [pairs.tobytes()]})
+                    yield pd.DataFrame({"block": [block], "classes": [new.astype("<i2").tobytes()], "pairs": [pairs.tobytes()]})
 
         rows = stats.mapInPandas(move, "block int, classes binary, pairs binary").collect()  # BLOCKS rows of bounded size
         counted = sum((np.frombuffer(bytes(r["pairs"])).reshape(n_classes, n_classes) for r in rows), np.zeros((n_classes, n_classes)))
@@ -245,8 +258,7 @@ def exchange(stats: DataFrame, total_units: int, n_classes: int, rounds: int, fi
             continue
         classes, bigrams = classes.copy(), counted
         for r in rows:
-            own = np.frombuffer(bytes(r["classes"]), "<i4")
-            classes[r["block"] * width : r["block"] * width + len(own)] = own
+            classes[r["block"] :: BLOCKS] = np.frombuffer(bytes(r["classes"]), "<i2")
     return best[1], best[2]
 
 
@@ -256,7 +268,7 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     n_classes: int = CLASSES,
-    units: int = UNITS,
+    units: int = KNOWN,
     groups: int = GROUPS,
     known: int = KNOWN,
     rounds: int = ROUNDS,
@@ -269,6 +281,7 @@ def score(
     totals = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = totals["n"], totals["v"]
     top = frequent(vocab, known)
+    units = min(units, int((top["n"] >= LEAST).sum()))
     words = (top["word"].tolist(), top["n"].to_numpy(np.int64), units, groups)
     shared = spark.sparkContext.broadcast(words)
     total_units = min(units, len(top)) + groups

@@ -437,6 +437,50 @@ def test_class_model(spark):
         assert got[i]["score"] < 0
 
 
+def test_class_score_equals_brute_force(spark, monkeypatch):
+    rows = [(i, prose(i, 40, vocab(0, 300)), i) for i in range(60)] + [(80, None, 0), (81, "", 0), (82, "neverseen word", 0), (5, prose(5, 40, vocab(0, 300)), 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, word int")
+    seen, own = [], brown.exchange
+
+    def exchange(stats, total_units, *more):
+        seen.append((total_units, *own(stats, total_units, *more)))
+        return seen[-1][1:]
+
+    monkeypatch.setattr(brown, "exchange", exchange)
+    got = {r["doc_id"]: r["score"] for r in brown.score(d, F.col("doc_id") < 40, n_classes=6, groups=16, known=200, rounds=3).collect()}
+    total, classes, bigrams = seen[0]
+    train = [[*(t or "").lower().split(), ""] for i, t, _ in rows if i < 40]
+    c = Counter(w for ws in train for w in ws)
+    top = sorted(c, key=lambda w: (-c[w], w.encode()))
+    levels = Counter(int(math.floor(math.log2(c[w]) * 32)) for w in top)
+    kept, lowest = 0, None
+    for b in sorted(levels, reverse=True):
+        if kept + levels[b] > 200:
+            break
+        kept, lowest = kept + levels[b], b
+    units = [w for w in top if math.floor(math.log2(c[w]) * 32) >= lowest and c[w] >= brown.LEAST]
+    assert total == len(units) + 16 and len(units) > 20
+    place = {w: i for i, w in enumerate(units)}
+    of = lambda w: int(classes[place[w] if w in place else len(units) + zlib.crc32(w[-2:].encode()) % 16])
+    pairs = np.zeros((6, 6))
+    for ws in train:
+        for x, y in zip(["", *ws], ws):
+            pairs[of(x), of(y)] += 1
+    assert (pairs == bigrams).all()
+    n, v = np.zeros(6), np.zeros(6)
+    for w, k in c.items():
+        n[of(w)] += k
+        v[of(w)] += 1
+    one = (n + 0.5) / (n + 0.5).sum()
+    for i, t, _ in rows:
+        want, before = 0.0, of("")
+        for w in [*(t or "").lower().split(), ""]:
+            k = of(w)
+            want += math.log10((pairs[before, k] + brown.KAPPA * one[k]) / (pairs[before].sum() + brown.KAPPA)) + math.log10((c[w] + 0.5) / (n[k] + 0.5 * (v[k] + 1)))
+            before = k
+        assert abs(got[i] - want) < 1e-6, i
+
+
 def test_class_model_odd(odd, empty):
     assert brown.score(odd, F.lit(True), units=50, groups=8, rounds=1).count() == 8
     assert brown.score(odd, F.lit(False), units=50, groups=8, rounds=1).count() == 8
@@ -525,6 +569,26 @@ def test_blocks_of_items_keep_rows(spark, monkeypatch):
     assert found() == whole
 
 
+def test_short_items(spark):
+    """Items of few words leak where they stand word by word, very short ones as a whole document only."""
+    kanji = "".join(chr(0x4E00 + 7 * i) for i in range(30))
+    b = spark.createDataFrame([(1, "Constantinople, Trebizond, Thessalonica"), (2, kanji + "。"), (3, "yes"), (4, "?!"), (5, None)], "item_id long, text string")
+    texts = ["from constantinople trebizond thessalonica home", "constantinople thessalonica trebizond", "so " + kanji, kanji[:-1], "Yes!", "yes it is", "", None, "trebizond thessalonica"]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, leaked string")
+    got = {r["doc_id"]: r["item_id"] if r["contaminated"] else None for r in latent.decontaminate(d, b).collect()}
+    assert got == {0: 1, 1: None, 2: 2, 3: None, 4: 3, 5: None, 6: None, 7: None, 8: None}
+    # beside longer ones
+    longer = prose(1, 30, vocab(7, 2000))
+    got = {r["doc_id"]: (r["contaminated"], r["n_items"]) for r in latent.decontaminate(d.unionByName(spark.createDataFrame([(20, longer + " " + texts[0], "x")], d.schema)), b.unionByName(spark.createDataFrame([(9, longer), (9, longer)], b.schema))).collect()}
+    assert got[20] == (True, 2) and got[0] == (True, 1) and got[4] == (True, 1) and not got[5][0]
+
+
+def test_odd_documents_in_decontamination(odd, spark):
+    b = spark.createDataFrame([(1, prose(1, 60)), (1, prose(1, 60)), (2, " ".join(f"w{i % 977}" for i in range(500, 560)))], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["contaminated"], r["n_items"]) for r in latent.decontaminate(odd, b).collect())
+    assert got == [("1", True, 1), ("1", True, 1), ("2", False, 0), ("3", False, 0), ("4", True, 1), ("5", False, 0), ("6", False, 0), ("None", False, 0)]
+
+
 def test_products_and_subsequences():
     r = np.random.default_rng(0)
     sizes = r.integers(1, 300, 20)
