@@ -15,11 +15,17 @@ common subsequence of the item and the passage's surroundings covers
 surroundings also hold ``CONTENT`` of its content words and ``ANSWER`` of
 the words of its answer, the last sentence.
 
+Items of under ``MIN_WORDS`` words (in scripts without spaces most are) have
+no passage to compare; they leak where their words follow one another. Those
+of under ``SHORT_CHARS`` letters and digits would be found in any text, so
+they leak only as a whole document.
+
 Only the benchmark's vocabulary, vectors and items are broadcast, at most
-``MAX_ITEMS`` items at a time; a larger benchmark is searched in blocks.
+``MAX_ITEMS`` items or ``MAX_CHARS`` characters at a time; a larger benchmark
+is searched in blocks.
 
-Defined results: null and empty texts and items match nothing; documents
-shorter than a window are one passage; repeated rows are judged alike; an
+Defined results: null and empty texts and items match nothing; items that
+repeat an id count once; documents shorter than a window are one passage; repeated rows are judged alike; an
 empty benchmark leaves everything clean.
 """
 
@@ -39,7 +45,7 @@ from pyspark.sql import functions as F
 from corvina.llm.common import cut
 
 WINDOW, RANK, OVERSAMPLE, SEED = 32, 128, 16, 11
-MAX_ITEMS = 20_000
+MAX_ITEMS, MAX_CHARS = 20_000, 16_000_000
 #: Words of a chunk: a longer document is a chunk of its own.
 CHUNK = 250_000
 #: Passages whose sums run on in one array.
@@ -47,8 +53,8 @@ RUN = 1_024
 #: Terms in at most this share of the passages are content terms.
 COMMON = 0.02
 MIN_COSINE, VERBATIM, PARAPHRASE, CONTENT, ANSWER = 0.4, 0.8, 0.55, 0.6, 0.6
-#: An item needs so many words to be searched for.
-MIN_WORDS = 5
+#: Shorter items are looked for word by word, anywhere in a text if they have so many characters.
+MIN_WORDS, SHORT_CHARS = 5, 20
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?。？！])\s+|\n+")
@@ -78,16 +84,38 @@ def lcs(masks: dict[int, int], size: int, sequence: list[int]) -> int:
     return size - v.bit_count()
 
 
-def _items(rows: list) -> tuple[dict[str, int], list[Item]]:
-    """Vocabulary (from 1; 0 is every other word) and items of enough words."""
+@dataclass
+class Short:
+    """An item of few words; ``whole``: it must be all of a document."""
+
+    item_id: int
+    ids: list[int]
+    whole: bool
+
+
+def _items(rows: list) -> tuple[dict[str, int], list[Item], list[Short]]:
+    """Vocabulary (from 1; 0 is every other word), items of enough words, and the others."""
     index: dict[str, int] = {}
-    items = []
+    items, short = [], []
     for item_id, text in rows:
-        ids = [index.setdefault(w, len(index) + 1) for w in words(text)]
+        own = words(text)
+        ids = [index.setdefault(w, len(index) + 1) for w in own]
         if len(ids) >= MIN_WORDS:
             last = next((s for s in reversed([words(s) for s in _SENTENCE.split(text)]) if s), [])
             items.append(Item(item_id, ids, frozenset(index[w] for w in last)))
-    return index, items
+        elif ids:
+            short.append(Short(item_id, ids, sum(map(len, own)) < SHORT_CHARS))
+    return index, items, short
+
+
+def _verbatim(short: dict[int, list[Short]], begins: np.ndarray, ids: np.ndarray, base: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(document, item_id) of the short items that the documents hold; short items by their first word."""
+    at = np.flatnonzero(begins[ids])
+    for x, d in zip(at.tolist(), (np.searchsorted(base, at, "right") - 1).tolist()):
+        for it in short[int(ids[x])]:
+            end = x + len(it.ids)
+            if end <= base[d + 1] and (not it.whole or x == base[d] and end == base[d + 1]) and ids[x:end].tolist() == it.ids:
+                yield d, it.item_id
 
 
 def _starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,28 +309,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _search_block(docs: DataFrame, rows: list, id_type: str, rank: int) -> DataFrame | None:
-    index, items = _items(rows)
-    if not items:
+    index, items, short = _items(rows)
+    if not items and not short:
         return None
     sc = docs.sparkSession.sparkContext
     terms = len(index) + 1
     chunks = _pack(docs, sc.broadcast(index), id_type)
-    df, n = _frequencies(chunks, terms)
-    idf = np.log((1 + n) / (1 + df))
-    content = df <= max(COMMON * n, 1)
-    for i in items:
-        if sum(content[x] for x in set(i.ids)) < 3:  # else it could not be found
-            content[i.ids] = True
-    content[0] = False
-    idf = np.where(content, np.maximum(idf, 0.1), 0.0)
-    basis = _basis(chunks, items, idf, n, rank)
-    # an item is its windows, as a document is
-    own = Passages(np.concatenate([np.array(i.ids) for i in items]), np.array([len(i.ids) for i in items]), idf)
-    vectors = _unit(own.times(basis)).astype(np.float32)
-    shared = sc.broadcast((items, own.doc, vectors, basis, idf))
+    by_first: dict[int, list[Short]] = {}
+    for i in short:
+        by_first.setdefault(i.ids[0], []).append(i)
+    begins = np.zeros(terms, bool)
+    begins[list(by_first)] = True
+    if items:
+        df, n = _frequencies(chunks, terms)
+        idf = np.log((1 + n) / (1 + df))
+        content = df <= max(COMMON * n, 1)
+        for i in items:
+            if sum(content[x] for x in set(i.ids)) < 3:  # else it could not be found
+                content[i.ids] = True
+        content[0] = False
+        idf = np.where(content, np.maximum(idf, 0.1), 0.0)
+        basis = _basis(chunks, items, idf, n, rank)
+        # an item is its windows, as a document is
+        own = Passages(np.concatenate([np.array(i.ids) for i in items]), np.array([len(i.ids) for i in items]), idf)
+        owner, vectors = own.doc, _unit(own.times(basis)).astype(np.float32)
+    else:
+        owner, vectors, basis, idf = np.empty(0, np.int64), np.empty((0, 1), np.float32), np.zeros((terms, 1)), np.zeros(terms)
+    shared = sc.broadcast((items, owner, vectors, basis, idf, by_first, begins))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, owner, vectors, basis, idf = shared.value
+        items, owner, vectors, basis, idf, by_first, begins = shared.value
         masks = []
         for it in items:
             m: dict[int, int] = {}
@@ -340,11 +376,16 @@ def _search_block(docs: DataFrame, rows: list, id_type: str, rank: int) -> DataF
                         found = (leak, common, answered, float(cosine[w, v]), it.item_id)
                         if d not in best or found[:4] > best[d][:4] or found[:4] == best[d][:4] and found[4] < best[d][4]:
                             best[d] = found
+                for d, item_id in _verbatim(by_first, begins, ids, base):
+                    leaks.setdefault(d, set()).add(item_id)
+                    found = (True, 1.0, 1.0, 1.0, item_id)
+                    if d not in best or found[:4] > best[d][:4] or found[:4] == best[d][:4] and item_id < best[d][4]:
+                        best[d] = found
                 none = (False, 0.0, 0.0, 0.0, None)
                 got = [best.get(d, none) for d in range(len(size))]
-                yield pd.DataFrame({_ID: list(keys), "contaminated": [bool(g[0]) for g in got], "n_items": [len(leaks.get(d, ())) for d in range(len(size))], "item_id": pd.array([g[4] for g in got], "Int64"), "cosine": [g[3] for g in got], "lcs_share": [g[1] for g in got], "answer_share": [g[2] for g in got]})
+                yield pd.DataFrame({_ID: list(keys), "contaminated": [bool(g[0]) for g in got], "leaked": [sorted(leaks.get(d, ())) for d in range(len(size))], "item_id": pd.array([g[4] for g in got], "Int64"), "cosine": [g[3] for g in got], "lcs_share": [g[1] for g in got], "answer_share": [g[2] for g in got]})
 
-    return chunks.mapInPandas(run, f"{_ID} {id_type}, contaminated boolean, n_items int, item_id long, cosine double, lcs_share double, answer_share double")
+    return chunks.mapInPandas(run, f"{_ID} {id_type}, contaminated boolean, leaked array<long>, item_id long, cosine double, lcs_share double, answer_share double")
 
 
 class _Slice:
@@ -361,7 +402,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     own = docs.select(F.col(id_col).alias(_ID), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("item is not null and text is not null")
-    blocks = max(1, -(-items.count() // MAX_ITEMS))
+    n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // MAX_ITEMS), -(-chars // MAX_CHARS))
     searched, numbered = own, None
     if blocks > 1:
         # what the blocks find is put together by row, as ids may repeat or be null; the numbers are fixed by a checkpoint
@@ -369,7 +411,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         searched, id_type = numbered.select(F.col("row").alias(_ID), "text"), "bigint"
     found = []
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()
         part = _search_block(searched, rows, id_type, rank)
         if part is not None:
             found.append(part)
@@ -380,7 +422,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         for more in found[1:]:
             out = out.unionByName(more)
         best = F.max_by(F.struct("item_id", "cosine", "lcs_share", "answer_share"), F.struct("contaminated", "lcs_share", "answer_share", "cosine"))
-        out = out.groupBy(_ID).agg(F.max("contaminated").alias("contaminated"), F.sum("n_items").cast("int").alias("n_items"), best.alias("b")).select(_ID, "contaminated", "n_items", "b.*")
+        out = out.groupBy(_ID).agg(F.max("contaminated").alias("contaminated"), F.array_distinct(F.flatten(F.collect_list("leaked"))).alias("leaked"), best.alias("b")).select(_ID, "contaminated", "leaked", "b.*")
     if numbered is not None:
         out = out.withColumnRenamed(_ID, "row").join(numbered.select("row", _ID), "row").select(_ID, *(c for c in out.columns if c != _ID))
-    return out.withColumnRenamed(_ID, "doc_id")
+    return out.select(F.col(_ID).alias("doc_id"), "contaminated", F.size("leaked").alias("n_items"), "item_id", "cosine", "lcs_share", "answer_share")
