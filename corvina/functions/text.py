@@ -82,8 +82,8 @@ def alphabetic(tokens: Column) -> Column:
 
 def without(tokens: Column, words: Iterable[str]) -> Column:
     """Tokens that aren't in the list; repeats stay."""
-    listed = F.array(*(F.lit(w) for w in words))
-    return F.filter(tokens, lambda t: ~F.array_contains(listed, t))
+    listed = list(words)  # as a set of literals, which is looked up by hash
+    return F.filter(tokens, lambda t: ~t.isin(listed)) if listed else tokens
 
 
 def at_least(tokens: Column, n: int) -> Column:
@@ -149,3 +149,15 @@ def up_to_terminator(message: Column, terminator: str = "###FIN###") -> Column:
 
 def prefix(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
+
+
+def unescape(text: Column) -> Column:
+    """Text of XML with its character references decoded: the named ones of the standard, and numbers."""
+    references = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    digits = lambda r: F.when(F.lower(F.substring(r, 3, 1)) == "x", F.regexp_replace(r, "[&#;xX]", "")).otherwise(F.conv(F.regexp_replace(r, "[&#;]", ""), 10, 16))
+    character = lambda r: F.decode(F.unhex(F.lpad(digits(r), 8, "0")), "UTF-32")
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(value))
+    text = F.aggregate(references, text, lambda t, r: F.replace(t, r, character(r)))
+    # last, so that nothing is decoded twice
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))

@@ -49,27 +49,27 @@ def train(feats: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     # labels are few: broadcast-sized by nature; a one-row total is a lookup
     priors = by_label.join(F.broadcast(totals)).select("label", "n_label", ((F.col("n_label") + 0.5) / (F.col("n_all") + 0.5 * F.col("n_labels"))).alias("p"))
     seen = feats.join(labels, "doc_id").groupBy("label", "fname", "fval").agg(F.count(F.lit(1)).alias("n"))
-    per_label = seen.groupBy("label", "fname").agg(F.sum("n").alias("present"))
-    names = seen.select("fname").distinct()
-    # every label meets every name: names times a handful of labels
-    grid = names.join(F.broadcast(by_label)).join(per_label, ["label", "fname"], "left")
-    missing = grid.select("label", "fname", F.lit(None).cast("boolean").alias("fval"), (F.col("n_label") - F.coalesce("present", F.lit(0))).alias("n")).where("n > 0")
-    every = seen.unionByName(missing)
-    bins = every.groupBy("fname").agg(F.count_distinct(F.coalesce(F.col("fval").cast("string"), F.lit("none"))).alias("bins"))
-    values = every.select("fname", "fval").distinct().join(bins, "fname").join(F.broadcast(by_label))
-    value = F.coalesce(F.col("fval").cast("string"), F.lit("none")).alias("v")
-    table = values.select("*", value).join(every.select("label", "fname", value, "n"), ["label", "fname", "v"], "left")
-    table = table.select("label", "fname", "fval", F.coalesce("n", F.lit(0)).cast("long").alias("n"), ((F.coalesce("n", F.lit(0)) + 0.5) / (F.col("n_label") + 0.5 * F.col("bins"))).alias("p"))
-    return priors, table
+    # a feature has a cell for each label and value, so all of its estimates come from one row
+    value = F.coalesce(F.col("fval").cast("string"), F.lit("none"))
+    cells = seen.groupBy("fname").agg(F.collect_list(F.struct("label", value.alias("v"), "n")).alias("cells"))
+    every = by_label.agg(F.collect_list(F.struct("label", "n_label")).alias("labels"))
+    count = lambda holds: F.aggregate(F.filter("cells", holds), F.lit(0).cast("long"), lambda total, c: total + c["n"])
+    missing = lambda x: x["n_label"] - count(lambda c: c["label"] == x["label"])
+    rows = cells.join(F.broadcast(every)).withColumn("labels", F.transform("labels", lambda x: F.struct(x["label"].alias("label"), x["n_label"].alias("n_label"), missing(x).alias("missing"))))
+    none = F.when(F.exists("labels", lambda x: x["missing"] > 0), F.array(F.lit("none"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("values", F.array_union(F.transform("cells", lambda c: c["v"]), none))
+    rows = rows.withColumn("x", F.explode("labels")).withColumn("v", F.explode("values"))
+    n = F.when(F.col("v") == "none", F.col("x.missing")).otherwise(F.lit(0)) + count(lambda c: (c["label"] == F.col("x.label")) & (c["v"] == F.col("v")))
+    rows = rows.select(F.col("x.label").alias("label"), "fname", F.when(F.col("v") != "none", F.col("v") == "true").alias("fval"), n.cast("long").alias("n"), F.col("x.n_label").alias("n_label"), F.size("values").alias("bins"))
+    return priors, rows.select("label", "fname", "fval", "n", ((F.col("n") + 0.5) / (F.col("n_label") + 0.5 * F.col("bins"))).alias("p"))
 
 
 def posterior(docs: DataFrame, feats: DataFrame, model: tuple[DataFrame, DataFrame], id_col: str = "doc_id") -> DataFrame:
     """doc_id, label, p for every document and label; present, known features only."""
     priors, table = model
     # a value that training never saw has the probability of a count of zero
-    unseen = table.groupBy("label", "fname").agg(F.min(F.col("p") * 0.5 / (F.col("n") + 0.5)).alias("p0"))
-    unseen = unseen.withColumn("fval", F.explode(F.array(F.lit(True), F.lit(False))))
-    present = unseen.join(table.where("fval is not null"), ["label", "fname", "fval"], "left").select("label", "fname", "fval", F.log(F.coalesce("p", "p0")).alias("lp"))
+    of = lambda value: F.struct(F.lit(value).alias("fval"), F.log(F.coalesce(F.max(F.when(F.col("fval") == F.lit(value), F.col("p"))), F.min(F.col("p") * 0.5 / (F.col("n") + 0.5)))).alias("lp"))
+    present = table.groupBy("label", "fname").agg(F.array(of(True), of(False)).alias("of")).select("label", "fname", F.explode("of").alias("of")).select("label", "fname", "of.*")
     evidence = feats.join(present, ["fname", "fval"]).groupBy("doc_id", "label").agg(F.sum("lp").alias("e"))
     every = docs.select(F.col(id_col).alias("doc_id")).join(F.broadcast(priors.select("label", F.log("p").alias("prior"))))
     logs = every.join(evidence, ["doc_id", "label"], "left").select("doc_id", "label", (F.col("prior") + F.coalesce("e", F.lit(0.0))).alias("s"))

@@ -21,9 +21,11 @@ def _by_column(df: DataFrame, columns: list[str], **aggs) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, count, mean, std (of a sample), min, q25, q50, q75 (interpolated), max."""
-    q = lambda p: lambda c: F.percentile(c, F.lit(p))
     d = lambda f: lambda c: f(c.cast("double"))
-    return _by_column(df, columns, count=F.count, mean=d(F.avg), std=d(F.stddev_samp), min=d(F.min), q25=q(0.25), q50=q(0.5), q75=q(0.75), max=d(F.max))
+    # one map of values for all three quartiles
+    quartiles = lambda c: F.percentile(c, F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75))))
+    out = _by_column(df, columns, count=F.count, mean=d(F.avg), std=d(F.stddev_samp), min=d(F.min), q=quartiles, max=d(F.max))
+    return out.select("column", "count", "mean", "std", "min", *(F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)), "max")
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -82,7 +84,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def box(df: DataFrame, by: str, column: str) -> DataFrame:
     """by, q25, q50, q75, low and high whisker (last values within 1.5 interquartile ranges), n_outliers."""
-    q = df.groupBy(by).agg(*(F.percentile(F.col(column), F.lit(p)).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)))
+    q = df.groupBy(by).agg(F.percentile(F.col(column), F.array(*(F.lit(p) for p in (0.25, 0.5, 0.75)))).alias("q"))
+    q = q.select(by, *(F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)))
     x = df.select(by, F.col(column).cast("double").alias("x")).join(F.broadcast(q), by)
     reach = (F.col("q75") - F.col("q25")) * 1.5
     inside = F.col("x").between(F.col("q25") - reach, F.col("q75") + reach)

@@ -23,10 +23,17 @@ MODELS = {
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the session's checkpoint folder (a temporary one only where none is set)."""
+    """Lineage cut in the session's checkpoint folder.
+
+    A session on one machine that names none gets a temporary one; elsewhere
+    that is an error, as executors would not see it.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvina-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvina-"))
     return df.checkpoint()
 
 

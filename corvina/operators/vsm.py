@@ -16,7 +16,8 @@ def term_counts(docs: DataFrame, tokens: Column | None = None, id_col: str = "do
 
 def idf(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
     """term, df, idf = ln((1 + n) / (1 + df)) + 1; ``n_docs`` is one row with n."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # the sum keeps tf in this branch: the counts are then one exchange, made once for all that reads them
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n_term")).where("n_term > 0").drop("n_term")
     return df.join(F.broadcast(n_docs)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
@@ -46,18 +47,19 @@ def cap(counts: DataFrame, k: int) -> DataFrame:
 def scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: cosine of each document and the query, with the corpus' own frequencies; 0 for no common term.
 
-    Only the query's terms need a document frequency, so one aggregation by
-    document gives the query's term frequencies, and the documents' norms need
-    the idf of all terms, joined by term.
+    One aggregation by document gives its length and its product with the
+    query; the query's own length is one row.
     """
     spark = docs.sparkSession
     counts = term_counts(docs, None, id_col, text_col)
-    w = weights(counts, idfs := idf(counts, number(docs)))
-    q = spark.createDataFrame([(query,)], "text string").select(F.explode(tx.vector_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+    idfs = idf(counts, number(docs))
+    q = spark.createDataFrame([(query,)], "text string").select(F.explode(tx.vector_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf_q"))
     # the query's terms are as many as its words
-    q = idfs.join(F.broadcast(q), "term").select("term", (F.col("tf") * F.col("idf")).alias("raw"))
-    q = q.select("term", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(F.lit(1))))).alias("wq"))
-    found = w.join(F.broadcast(q), "term").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("wq")).alias("s"))
+    q = F.broadcast(q)
+    length = idfs.join(q, "term").agg(F.sqrt(F.sum(F.pow(F.col("tf_q") * F.col("idf"), F.lit(2.0)))).alias("length_q"))
+    raw = F.col("tf") * F.col("idf")
+    found = counts.join(idfs, "term").join(q, "term", "left").groupBy("doc_id").agg(F.sqrt(F.sum(raw * raw)).alias("length"), F.sum(raw * F.col("tf_q") * F.col("idf")).alias("product"))
+    found = found.where("product is not null").join(F.broadcast(length)).select("doc_id", (F.col("product") / F.col("length") / F.col("length_q")).alias("s"))
     return docs.select(F.col(id_col).alias("doc_id")).join(found, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit(0.0)).alias("score"))
 
 

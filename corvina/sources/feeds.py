@@ -22,15 +22,19 @@ def items(feeds: DataFrame, max_entries: int = 20) -> DataFrame:
     entry = F.regexp_extract_all("body", F.lit(r"(?s)<(?:item|entry)[\s>].*?</(?:item|entry)>"), F.lit(0))
 
     def field(x, *names):
-        found = [F.regexp_extract(x, rf"(?s)<{n}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{n}>", 1) for n in names]
-        present = [F.when(x.rlike(rf"(?s)<{n}(?:\s[^>]*)?>.*?</{n}>"), f) for n, f in zip(names, found)]
-        return F.coalesce(*present)
+        def text(n):
+            plain = tx.unescape(F.regexp_extract(x, rf"(?s)<{n}(?:\s[^>]*)?>\s*(.*?)\s*</{n}>", 1))
+            marked = rf"(?s)<{n}(?:\s[^>]*)?>\s*<!\[CDATA\[(.*?)\]\]>\s*</{n}>"
+            # marked sections hold no references
+            return F.when(x.rlike(marked), F.regexp_extract(x, marked, 1)).otherwise(plain)
+
+        return F.coalesce(*(F.when(x.rlike(rf"(?s)<{n}(?:\s[^>]*)?>.*?</{n}>"), text(n)) for n in names))
 
     good = F.col("body").isNotNull() & F.col("body").rlike(r"(?s)<(?:rss|feed|rdf:RDF)[\s>]")
     channel = F.regexp_replace("body", r"(?s)<(?:item|entry)[\s>].*?</(?:item|entry)>", "")
     rows = feeds.withColumn("good", F.coalesce(good, F.lit(False)))
     parsed = rows.where("good").select(F.coalesce(field(channel, "title"), F.col("url")).alias("source"), F.posexplode(F.slice(entry, 1, max_entries)).alias("pos", "x"))
-    link = F.coalesce(field(F.col("x"), "link"), F.nullif(F.regexp_extract("x", r'<link[^>]*href="([^"]*)"', 1), F.lit("")))
+    link = F.coalesce(field(F.col("x"), "link"), F.nullif(tx.unescape(F.regexp_extract("x", r'<link[^>]*href="([^"]*)"', 1)), F.lit("")))
     parsed = parsed.select(
         "source",
         F.coalesce(field(F.col("x"), "title"), F.lit("")).alias("title"),

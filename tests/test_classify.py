@@ -7,6 +7,7 @@ import pytest
 from corvina.functions import lexicon
 from corvina.operators import classify, learners
 
+# The training sentences and labels behind the published results.
 TRAINING = [
     ("Me encanta que ahora se integre nativamente con Git", "pos"),
     ("Excelente contraste para trabajar de noche", "pos"),
