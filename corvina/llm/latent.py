@@ -131,30 +131,35 @@ def _starts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW, base[doc] + sizes[doc]), doc
 
 
+def _weighted(m: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return m.astype(np.float32) * idf.astype(np.float32)[:, None]
+
+
 class Passages:
     """The windows of a chunk over its content terms: weights of occurrences and window bounds among them."""
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray):
         start, end, doc = _starts(sizes)
         at = np.flatnonzero(idf[ids] > 0)
-        self.ids, self.weight = ids[at], idf[ids[at]].astype(np.float32)
+        self.ids, self.idf = ids[at], idf.astype(np.float32)
         lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
         keep = hi - lo >= 2
         self.lo, self.hi, self.start, self.end, self.doc = lo[keep], hi[keep], start[keep], end[keep], doc[keep]
-        squares = np.r_[0.0, np.cumsum(self.weight.astype(np.float64) ** 2)]
+        squares = np.r_[0.0, np.cumsum(idf[self.ids] ** 2)]
         self.norm = np.sqrt(np.maximum(squares[self.hi] - squares[self.lo], 1e-12)).astype(np.float32)
 
     def times(self, m: np.ndarray) -> np.ndarray:
-        """Rows of the normalised TF-IDF matrix times m; single precision, in runs short enough for its sums."""
+        """Rows of the normalised TF-IDF matrix times m."""
+        return self.times_weighted(_weighted(m, self.idf))
+
+    def times_weighted(self, m: np.ndarray) -> np.ndarray:
+        """The same for an m whose rows have the terms' weights, which all occurrences share; single precision, in runs short enough for its sums."""
         out = np.empty((len(self.lo), m.shape[1]), np.float32)
-        m = m.astype(np.float32)
         for s in range(0, len(self.lo), RUN):
             lo, hi = self.lo[s : s + RUN], self.hi[s : s + RUN]
             a, b = lo.min(), hi.max()
             sums = np.zeros((b - a + 1, m.shape[1]), np.float32)
-            part = m[self.ids[a:b]]
-            part *= self.weight[a:b, None]
-            np.cumsum(part, axis=0, out=sums[1:])
+            np.cumsum(m[self.ids[a:b]], axis=0, out=sums[1:])
             here = out[s : s + RUN]
             np.take(sums, hi - a, axis=0, out=here)
             here -= sums[lo - a]
@@ -165,8 +170,7 @@ class Passages:
         """The matrix's transpose times y, one row per passage.
 
         Bounds of windows ascend, so the windows that hold an occurrence are a
-        run, whose sum is a difference of running sums; all occurrences of a
-        term have its weight.
+        run, whose sum is a difference of running sums.
         """
         out = np.zeros((terms, y.shape[1]))
         y = y / self.norm[:, None]
@@ -181,7 +185,8 @@ class Passages:
             held = sums[np.searchsorted(lo, order + a, "right")]
             held -= sums[np.searchsorted(hi, order + a, "right")]
             # most words occur once in a run
-            out[ids[cuts]] += (held if len(cuts) == len(ids) else np.add.reduceat(held, cuts, axis=0)) * self.weight[a:b][order][cuts, None]
+            out[ids[cuts]] += held if len(cuts) == len(ids) else np.add.reduceat(held, cuts, axis=0)
+        out *= self.idf[:, None]
         return out
 
 
@@ -257,12 +262,12 @@ def _summed(chunks: DataFrame, matrix: np.ndarray, idf: np.ndarray) -> np.ndarra
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, idf = shared.value
-        total = np.zeros((terms, width))
+        m, total = _weighted(m, idf), np.zeros((terms, width))
         for f in frames:
             for sizes, packed in zip(f["sizes"], f["ids"]):
                 p = Passages(*_open(sizes, packed), idf)
                 if len(p.lo):
-                    total += p.transposed_times(p.times(m), terms)
+                    total += p.transposed_times(p.times_weighted(m), terms)
         for s in range(0, terms, rows):
             if total[s : s + rows].any():
                 yield pd.DataFrame({"block": [s], "sums": [total[s : s + rows].astype("<f8").tobytes()]})
@@ -339,7 +344,7 @@ def _search_block(docs: DataFrame, rows: list, id_type: str, rank: int) -> DataF
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, owner, vectors, basis, idf, by_first, begins = shared.value
-        masks = []
+        weighted, masks = _weighted(basis, idf), []
         for it in items:
             m: dict[int, int] = {}
             for k, x in enumerate(it.ids):
@@ -355,7 +360,7 @@ def _search_block(docs: DataFrame, rows: list, id_type: str, rank: int) -> DataF
                 done = set()
                 for s in range(0, len(p.lo), RUN):
                     part = _Slice(p, s, s + RUN)
-                    cosine = _unit(part.times(basis)).astype(np.float32) @ vectors.T
+                    cosine = _unit(part.times_weighted(weighted)) @ vectors.T
                     for w, v in zip(*np.divmod(np.flatnonzero(cosine.ravel() >= MIN_COSINE), len(vectors))):
                         d, i = int(p.doc[s + w]), int(owner[v])
                         if (s + w, i) in done:
@@ -392,9 +397,9 @@ class _Slice:
     """Some of the windows of a chunk."""
 
     def __init__(self, p: Passages, s: int, e: int):
-        self.ids, self.weight, self.lo, self.hi, self.norm = p.ids, p.weight, p.lo[s:e], p.hi[s:e], p.norm[s:e]
+        self.ids, self.idf, self.lo, self.hi, self.norm = p.ids, p.idf, p.lo[s:e], p.hi[s:e], p.norm[s:e]
 
-    times = Passages.times
+    times_weighted = Passages.times_weighted
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:

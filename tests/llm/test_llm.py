@@ -598,7 +598,7 @@ def test_products_and_subsequences():
     a = np.zeros((len(p.lo), 50))
     for w in range(len(p.lo)):
         for j in range(p.lo[w], p.hi[w]):
-            a[w, p.ids[j]] += p.weight[j] / p.norm[w]
+            a[w, p.ids[j]] += idf[p.ids[j]] / p.norm[w]
     m = r.standard_normal((50, 7))
     assert np.allclose(p.times(m), a @ m, atol=1e-4) and np.allclose(p.transposed_times(p.times(m), 50), a.T @ (a @ m), atol=1e-3)
     for _ in range(50):
