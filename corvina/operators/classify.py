@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corvina.functions import text as tx
 from corvina.functions.stemmer import stems
+from corvina.operators.learners import checkpointed
 
 
 def _flags(**flags: Column) -> Column:
@@ -81,3 +82,47 @@ def predict(docs: DataFrame, feats: DataFrame, model: tuple[DataFrame, DataFrame
     """doc_id, label, p of the most probable label; of labels that tie to 12 places, the last in order."""
     best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.round("p", 12)), F.desc("label")))
     return posterior(docs, feats, model, id_col).withColumn("r", best).where("r = 1").select("doc_id", "label", "p")
+
+
+def score_table(docs: DataFrame, predicted: DataFrame, names: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """texto, prediccion, confianza: the texts with the names of their labels and the probability to two decimals."""
+    label = F.col("label").cast("string")
+    for key, name in (names or {}).items():
+        label = F.when(F.col("label") == key, name).otherwise(label)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("texto")).join(predicted, "doc_id").select("texto", label.alias("prediccion"), F.format_string("%.2f", "p").alias("confianza"))
+
+
+def train_events(counts: DataFrame, labels: DataFrame, kind: str = "multinomial", smoothing: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(label, base) and (term, label, w) of the multinomial or the Bernoulli model.
+
+    counts: doc_id, term, tf; labels: doc_id, label. A document's score for a
+    label is its base and the weights of its terms, times their counts in the
+    multinomial model. Rows without a label teach nothing.
+    """
+    known = labels.where("label is not null").select("doc_id", "label")
+    n = F.sum("tf") if kind == "multinomial" else F.count(F.lit(1))
+    seen = checkpointed(counts.join(known, "doc_id").groupBy("term", "label").agg(n.alias("n")))
+    size = seen.agg(F.count_distinct("term").alias("n_terms"))
+    by_label = known.groupBy("label").agg(F.count(F.lit(1)).alias("n_label")).join(seen.groupBy("label").agg(F.sum("n").alias("mass")), "label", "left")
+    every = by_label.agg(F.collect_list(F.struct("label", "n_label", F.coalesce("mass", F.lit(0)).alias("mass"))).alias("labels"), F.sum("n_label").alias("n_all"))
+    every = every.join(F.broadcast(size))
+    # one row for each term, then one for each label of it; labels are few
+    cells = seen.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("m")).join(F.broadcast(every)).select("term", "m", "n_terms", F.explode("labels").alias("x"))
+    n = F.coalesce(F.try_element_at("m", F.col("x.label")), F.lit(0)) + smoothing
+    prior = every.select(F.explode("labels").alias("x"), "n_all").select(F.col("x.label").alias("label"), F.log(F.col("x.n_label") / F.col("n_all")).alias("base"))
+    if kind == "multinomial":
+        return prior, cells.select("term", F.col("x.label").alias("label"), F.log(n / (F.col("x.mass") + smoothing * F.col("n_terms"))).alias("w"))
+    p = n / (F.col("x.n_label") + 2 * smoothing)
+    weights = cells.select("term", F.col("x.label").alias("label"), F.log(p).alias("yes"), F.log(1 - p).alias("no"))
+    absent = weights.groupBy("label").agg(F.sum("no").alias("absent"))
+    return prior.join(absent, "label", "left").select("label", (F.col("base") + F.coalesce("absent", F.lit(0.0))).alias("base")), weights.select("term", "label", (F.col("yes") - F.col("no")).alias("w"))
+
+
+def predict_events(docs: DataFrame, counts: DataFrame, model: tuple[DataFrame, DataFrame], kind: str = "multinomial", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, label of the highest score; terms that training never saw don't count, ties go to the first label."""
+    bases, weights = model
+    times = F.col("tf") if kind == "multinomial" else F.lit(1)
+    evidence = counts.join(weights, "term").groupBy("doc_id", "label").agg(F.sum(times * F.col("w")).alias("e"))
+    scores = docs.select(F.col(id_col).alias("doc_id")).join(F.broadcast(bases)).join(evidence, ["doc_id", "label"], "left").select("doc_id", "label", F.round(F.col("base") + F.coalesce("e", F.lit(0.0)), 9).alias("s"))
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("s"), "label"))
+    return scores.withColumn("r", best).where("r = 1").select("doc_id", "label")

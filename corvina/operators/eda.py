@@ -67,8 +67,9 @@ def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
 
 
 def crosstab_summary(table: DataFrame, key: str) -> DataFrame:
-    """column, mean, sum, min, max over the cells of a crosstab; empty cells count as zero."""
-    return _by_column(table, [c for c in table.columns if c != key], mean=F.avg, sum=F.sum, min=F.min, max=F.max)
+    """column, count, sum, mean, std, min, q25, q50, q75, max over the cells of a crosstab; empty cells count as zero."""
+    columns = [c for c in table.columns if c != key]
+    return describe(table, columns).join(F.broadcast(_by_column(table, columns, sum=F.sum)), "column")
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
@@ -99,23 +100,22 @@ def shares(df: DataFrame, column: str) -> DataFrame:
     return n.join(F.broadcast(total)).select(column, "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
 
 
-def density(df: DataFrame, by: str, column: str, points: int = 32, bins: int = 256) -> DataFrame:
-    """by, at, density: Gaussian kernel with Scott's bandwidth on a common grid.
+def density(df: DataFrame, by: str, column: str, points: int = 32) -> DataFrame:
+    """by, i, point, density: Gaussian kernel with Scott's bandwidth, exact, on a common grid of points numbered from 0.
 
-    Values are first counted in ``bins`` equal cells of each group's range, so
-    the kernel sums run over cells, not over rows.
+    Equal values are counted first; each distinct value then adds to all
+    points, summed where it is before anything is shuffled. Groups without
+    spread have no density.
     """
     x = df.select(by, F.col(column).cast("double").alias("x")).where("x is not null")
+    values = x.groupBy(by, "x").agg(F.count(F.lit(1)).alias("k"))
     stats = x.groupBy(by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("s")).where("s > 0")
     ends = stats.agg(F.min("lo").alias("glo"), F.max("hi").alias("ghi"))
-    cell = F.least(F.lit(bins - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))
-    cells = x.join(F.broadcast(stats), by).groupBy(by, cell.alias("cell"), "lo", "hi", "n", "s").agg(F.count(F.lit(1)).alias("k"))
+    point = F.col("glo") + F.col("i") * (F.col("ghi") - F.col("glo")) / (points - 1)
     h = F.col("s") * F.pow("n", F.lit(-0.2))
-    centre = F.col("lo") + (F.col("cell") + 0.5) * (F.col("hi") - F.col("lo")) / bins
-    at = F.col("glo") + F.col("i") * (F.col("ghi") - F.col("glo")) / (points - 1)
-    grid = cells.join(F.broadcast(ends)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("at", at)
-    kernel = F.exp(-0.5 * F.pow((F.col("at") - centre) / h, F.lit(2.0))) / (h * 2.5066282746310002)
-    return grid.groupBy(by, "at").agg(F.sum(F.col("k") * kernel / F.col("n")).alias("density"))
+    grid = values.join(stats, by).join(F.broadcast(ends)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("point", point)
+    kernel = F.exp(-0.5 * F.pow((F.col("point") - F.col("x")) / h, F.lit(2.0))) / (h * 2.5066282746310002)
+    return grid.groupBy(by, "i", "point").agg(F.sum(F.col("k") * kernel / F.col("n")).alias("density"))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

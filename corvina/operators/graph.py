@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.operators.learners import checkpointed
@@ -83,6 +83,23 @@ def bgp_with_union(g: DataFrame, patterns: list, branches: list[list]) -> DataFr
     return _join(bgp(g, patterns), reduce(union, (bgp(g, b) for b in branches)))
 
 
+def optional(solutions: DataFrame, g: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
+    """Solutions extended by the patterns where these match; their own variables are null elsewhere."""
+    more = bgp(g, patterns)
+    shared = [c for c in solutions.columns if c in more.columns]
+    if not shared:
+        raise ValueError("patterns without a common variable")
+    return solutions.join(more, shared, "left")
+
+
+def aggregate(solutions: DataFrame, by: list[str], having: Column | None = None, order: list | None = None, limit: int | None = None, **aggs: Column) -> DataFrame:
+    """Groups of solutions with their aggregates; then a condition on the groups, an order and a limit. Without ``by`` all are one group."""
+    out = solutions.groupBy(*by).agg(*(f.alias(k) for k, f in aggs.items()))
+    out = out if having is None else out.where(having)
+    out = out.orderBy(*order) if order else out
+    return out if limit is None else out.limit(limit)
+
+
 def coverage(g: DataFrame, expected: DataFrame) -> DataFrame:
     """p, present for each expected predicate."""
     found = g.select("p").distinct().withColumn("present", F.lit(True))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one block of a nearest-neighbour search.
@@ -22,18 +22,24 @@ MODELS = {
 }
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the session's checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
     A session on one machine that names none gets a temporary one; elsewhere
     that is an error, as executors would not see it.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvina-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Lineage cut in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -88,6 +94,19 @@ def vote(near: DataFrame, labels: DataFrame) -> DataFrame:
     return n.withColumn("r", best).where("r = 1").select("query_id", F.col("label").alias("predicted"))
 
 
+def recommend(near: DataFrame, ratings: DataFrame, n: int) -> DataFrame:
+    """query_id, rank, item, score: what neighbours rated and the query did not, by the mean rating weighted by nearness.
+
+    near: query_id, vec_id, score; ratings: vec_id, item, rating, one row for a
+    pair. Neighbours of no positive nearness have no say; ties go to the
+    smaller item.
+    """
+    said = near.where("score > 0").join(ratings, "vec_id").groupBy("query_id", "item").agg((F.sum(F.col("score") * F.col("rating")) / F.sum("score")).alias("score"))
+    new = said.join(ratings.select(F.col("vec_id").alias("query_id"), "item"), ["query_id", "item"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "item"))
+    return new.withColumn("rank", rank).where(F.col("rank") <= n).select("query_id", "rank", "item", "score")
+
+
 def self_training(labelled: DataFrame, unlabelled: DataFrame, predict, threshold: float = 0.95, rounds: int = 3) -> DataFrame:
     """doc_id, label, round: predictions of at least ``threshold`` join the training labels, round by round.
 

@@ -94,3 +94,8 @@ def kept_terms(query: str, stops: list[str]) -> list[str]:
 
 def prefer(score: Column, condition: Column, boost: float) -> Column:
     return score + F.when(condition, F.lit(float(boost))).otherwise(0.0)
+
+
+def on_date(when: Column, first: str, last: str | None = None) -> Column:
+    """On a day, or from one day to another, both included (yyyy-mm-dd). As bounds of the column itself they reach the scan."""
+    return (when >= F.lit(first).cast("date")) & (when < F.date_add(F.lit(last or first).cast("date"), 1))

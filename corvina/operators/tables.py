@@ -31,3 +31,8 @@ def prediction_string(columns: list[str]) -> Column:
 
 def decimals(c: Column, n: int) -> Column:
     return F.format_string(f"%.{n}f", c)
+
+
+def map_batches(df: DataFrame, f, schema: str) -> DataFrame:
+    """The rows that ``f``, from a pandas frame to a pandas frame, makes of each batch."""
+    return df.mapInPandas(lambda frames: map(f, frames), schema)

@@ -101,3 +101,28 @@ def min_max_scale(p: DataFrame, column: str = "v", invert: bool = False) -> Data
     q = q.withColumn("_x", F.col("_x") - F.min("_x").over(w))
     top = F.max("_x").over(w)
     return q.withColumn(column, F.when(top == 0, 0).otherwise((F.col("_x") / top * 255).cast("int"))).drop("_x")
+
+
+def decoded(p: DataFrame, columns: list[str], divisor: float = 355.0) -> DataFrame:
+    """Channel values as fractions of a divisor."""
+    return p.withColumns({c: F.col(c).cast("double") / divisor for c in columns})
+
+
+def flipped(p: DataFrame, width: int, height: int, seed: int = 0) -> DataFrame:
+    """Pixels (image, x, y, ...) of images that are mirrored left to right, and top to bottom, by a seeded coin for each image."""
+    coin = lambda axis: F.md5(F.concat_ws(":", F.col("image").cast("string"), F.lit(f"{seed}:{axis}")).cast("binary")) < "8"
+    turned = lambda c, size: F.when(coin(c), size - 1 - F.col(c)).otherwise(F.col(c))
+    return p.withColumns({"x": turned("x", width), "y": turned("y", height)})
+
+
+def resized(p: DataFrame, size: tuple[int, int], target: tuple[int, int], column: str = "v") -> DataFrame:
+    """image, x, y, column in the target size (width, height): bilinear, centres of pixels aligned, edges repeated."""
+    axis = []
+    for c, old, new in (("x", size[0], target[0]), ("y", size[1], target[1])):
+        at = (F.col(c) + 0.5) * (old / new) - 0.5
+        low = F.floor(at)
+        inside = lambda v, old=old: F.greatest(F.lit(0), F.least(F.lit(old - 1), v)).cast("int")
+        axis.append(F.array(F.struct(inside(low).alias("at"), (1 - (at - low)).alias("w")), F.struct(inside(low + 1).alias("at"), (at - low).alias("w"))))
+    grid = p.select("image").distinct().withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(target[0] - 1)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(target[1] - 1))))
+    reads = grid.withColumn("i", F.explode(axis[0])).withColumn("j", F.explode(axis[1])).select("image", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("i.at").alias("x"), F.col("j.at").alias("y"), (F.col("i.w") * F.col("j.w")).alias("w"))
+    return reads.join(p.select("image", "x", "y", column), ["image", "x", "y"]).groupBy("image", F.col("tx").alias("x"), F.col("ty").alias("y")).agg(F.sum(F.col("w") * F.col(column)).alias(column))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvina.functions import text as tx
-from corvina.operators import cluster, eda, graph, learners, tables, vision, vsm
+from corvina.operators import cluster, eda, graph, learners, search, tables, vision, vsm
 from corvina.plans.registry import Tables, query
+from corvina.sources import feeds, files
 from corvina.streaming import streams
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -84,9 +87,9 @@ def _(t: Tables) -> DataFrame:
     return eda.crosstab(t.orders, "o_orderpriority", "o_orderstatus", _PRIORITIES)
 
 
-@query("crosstab_mean", f"WITH x AS ({_CROSS}) " + _union("SELECT 'c_{c}' AS \"column\", round(avg(c_{c}), 6) AS mean, sum(c_{c})::BIGINT AS sum, min(c_{c}) AS min, max(c_{c}) AS max FROM x", _PRIORITIES))
+@query("crosstab_mean", f"WITH x AS ({_CROSS}) " + _union("SELECT 'c_{c}' AS \"column\", count(c_{c}) AS count, sum(c_{c})::BIGINT AS sum, round(avg(c_{c}), 6) AS mean, round(stddev_samp(c_{c}), 6) AS std, min(c_{c})::DOUBLE AS min, round(quantile_cont(c_{c}, 0.25), 6) AS q25, round(quantile_cont(c_{c}, 0.5), 6) AS q50, round(quantile_cont(c_{c}, 0.75), 6) AS q75, max(c_{c})::DOUBLE AS max FROM x", _PRIORITIES))
 def _(t: Tables) -> DataFrame:
-    return _rounded(eda.crosstab_summary(eda.crosstab(t.orders, "o_orderpriority", "o_orderstatus", _PRIORITIES), "o_orderpriority"), "mean")
+    return _rounded(eda.crosstab_summary(eda.crosstab(t.orders, "o_orderpriority", "o_orderstatus", _PRIORITIES), "o_orderpriority"), "mean", "std", "q25", "q50", "q75")
 
 
 @query(
@@ -112,9 +115,13 @@ def _(t: Tables) -> DataFrame:
     return _rounded(eda.shares(t.part, "p_brand"), "pct")
 
 
-@query("kernel_density")
+@query(
+    "kernel_density",
+    "WITH st AS (SELECT event_type, min(value) AS lo, max(value) AS hi, count(value) AS n, stddev_samp(value) AS s FROM events WHERE value IS NOT NULL GROUP BY event_type HAVING stddev_samp(value) > 0), g AS (SELECT i, min(lo) + i * (max(hi) - min(lo)) / 31 AS point FROM st, (SELECT unnest(range(32)) AS i) GROUP BY i) "
+    "SELECT event_type, i::INT AS i, round(point, 6) AS point, round(sum(exp(-0.5::DOUBLE * pow((point - value) / (s * pow(n, -0.2::DOUBLE)), 2)) / (s * pow(n, -0.2::DOUBLE) * 2.5066282746310002::DOUBLE) / n), 9) AS density FROM events JOIN st USING (event_type) CROSS JOIN g WHERE value IS NOT NULL GROUP BY event_type, i, point",
+)
 def _(t: Tables) -> DataFrame:
-    return eda.density(t.events, "event_type", "value")
+    return _rounded(_rounded(eda.density(t.events, "event_type", "value"), "density", places=9), "point")
 
 
 @query("first_and_last", "(SELECT 'first' AS part, o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5) UNION ALL (SELECT 'last', o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC LIMIT 5)")
@@ -176,6 +183,16 @@ def _(t: Tables) -> DataFrame:
     return eda.first_per_group(t.documents.select("source", "doc_id"), ["source"], ["doc_id"], 20)
 
 
+@query("date_filter", "SELECT event_id, event_type FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-07'")
+def _(t: Tables) -> DataFrame:
+    return t.events.where(search.on_date(F.col("ts"), "2024-01-05", "2024-01-07")).select("event_id", "event_type")
+
+
+@query("dataset_map", "SELECT c_custkey, reverse(c_name) AS backwards FROM customer")
+def _(t: Tables) -> DataFrame:
+    return tables.map_batches(t.customer.select("c_custkey", "c_name"), lambda f: f.assign(backwards=f["c_name"].str[::-1])[["c_custkey", "backwards"]], "c_custkey long, backwards string")
+
+
 @query("appended_rows", "SELECT 'customer' AS kind, c_custkey AS id, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, NULL FROM supplier")
 def _(t: Tables) -> DataFrame:
     return eda.union_all([t.customer.select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")), t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"))])
@@ -250,7 +267,25 @@ def _(t: Tables) -> DataFrame:
 @query("bgp_optional", f"WITH {_G} SELECT a.s AS who, a.o AS name, b.o AS segment FROM g a LEFT JOIN g b ON a.s = b.s AND b.p = 'segment' WHERE a.p = 'name'")
 def _(t: Tables) -> DataFrame:
     g = _graph(t)
-    return graph.match(g, ("?who", "name", "?name")).join(graph.match(g, ("?who", "segment", "?segment")), "who", "left")
+    return graph.optional(graph.match(g, ("?who", "name", "?name")), g, [("?who", "segment", "?segment")])
+
+
+@query("bgp_aggregate", f"WITH {_G} SELECT c.o AS region, count(*) AS n, count(DISTINCT a.o) AS n_nations FROM g a JOIN g b ON a.o = b.s JOIN g c ON b.o = c.s WHERE a.p = 'nation' AND b.p = 'region' AND c.p = 'name' GROUP BY c.o HAVING count(*) >= 2 ORDER BY n DESC, region LIMIT 3")
+def _(t: Tables) -> DataFrame:
+    found = graph.bgp(_graph(t), [("?who", "nation", "?n"), ("?n", "region", "?r"), ("?r", "name", "?region")])
+    counts = {"n": F.count(F.lit(1)), "n_nations": F.count_distinct("n")}
+    return graph.aggregate(found, ["region"], having=F.col("n") >= 2, order=[F.desc("n"), "region"], limit=3, **counts)
+
+
+@query("prefixed_pattern", f"WITH {_G} SELECT DISTINCT p, o FROM g WHERE s = 'nation:7'")
+def _(t: Tables) -> DataFrame:
+    return graph.simple_pattern(_graph(t), s=graph.expand({"n": "nation:"}, "n:7"))
+
+
+@query("typed_triples", f"WITH {_G} SELECT s, p, o, CASE WHEN p IN ('nation', 'region') THEN 'uri' ELSE 'literal' END AS o_kind, NULL::VARCHAR AS o_lang, CASE WHEN p NOT IN ('nation', 'region') THEN 'xsd:string' END AS o_datatype FROM g")
+def _(t: Tables) -> DataFrame:
+    is_uri = F.col("p").isin("nation", "region")
+    return graph.typed(_graph(t).withColumn("o_kind", F.when(is_uri, "uri").otherwise("literal")).withColumn("o_datatype", F.when(~is_uri, "xsd:string")))
 
 
 @query(
@@ -294,31 +329,76 @@ def _(t: Tables) -> DataFrame:
     return _rounded(learners.neighbours(t.embeddings, F.col("vec_id") % 50 == 0, 5, metric="euclidean"), "score", places=5)
 
 
+@query(
+    "neighbour_recommendations",
+    f"{_COS}, ra AS (SELECT user_id AS vec_id, event_type AS item, avg(value) AS rating FROM events WHERE value IS NOT NULL GROUP BY ALL), rec AS (SELECT query_id, item, sum(score * rating) / sum(score) AS score FROM r JOIN ra USING (vec_id) WHERE rank <= 5 AND score > 0 GROUP BY ALL), "
+    "new AS (SELECT * FROM rec WHERE NOT EXISTS (SELECT 1 FROM ra WHERE ra.vec_id = rec.query_id AND ra.item = rec.item)) SELECT query_id, rank, item, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item)::INT AS rank FROM new) WHERE rank <= 3",
+)
+def _(t: Tables) -> DataFrame:
+    ratings = t.events.where("value is not null").groupBy(F.col("user_id").alias("vec_id"), F.col("event_type").alias("item")).agg(F.avg("value").alias("rating"))
+    return _rounded(learners.recommend(_near(t), ratings, 3), "score")
+
+
 def _knn_edges(t: Tables) -> DataFrame:
     near = learners.neighbours(t.embeddings, F.lit(True), 5)
     return learners.checkpointed(near.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b"), F.greatest("score", F.lit(0.0)).alias("w")).where("w > 0"))
 
 
-def _seeds(t: Tables) -> DataFrame:
-    # known labels are a property of the task: a third of the vectors
-    return t.embeddings.where(F.crc32(F.col("vec_id").cast("string").cast("binary")) % 3 == 0).select(F.col("vec_id").alias("node"), "label")
+#: Labels are known of those vectors, about a third, whose id has such a hash: a property of the task.
+_KNOWN = "md5(CAST(vec_id AS VARCHAR)) < '5'"
 
 
-@query("label_propagation")
+def _known() -> Column:
+    return F.md5(F.col("vec_id").cast("string").cast("binary")) < "5"
+
+
+def _seeds(t: Tables) -> DataFrame:
+    return t.embeddings.where(_known()).select(F.col("vec_id").alias("node"), "label")
+
+
+def _spread_sql(rounds: int, alpha: float | None) -> str:
+    """The rounds of propagation (spreading, with alpha) one after the other."""
+    out = [
+        "WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)",
+        "s AS (SELECT q.vec_id AS a, v.vec_id AS b, round(list_cosine_similarity(q.e, v.e), 12) AS w FROM v q JOIN v ON q.vec_id <> v.vec_id)",
+        "r AS MATERIALIZED (SELECT a, b, greatest(w, 0.0::DOUBLE) AS w FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS k FROM s) WHERE k <= 5 AND w > 0)",
+        "e AS MATERIALIZED (SELECT a, b, max(w) AS w FROM (SELECT a, b, w FROM r UNION ALL SELECT b, a, w FROM r) GROUP BY a, b)",
+        "d AS MATERIALIZED (SELECT a, sum(w) AS d FROM e GROUP BY a)",
+        "walk AS MATERIALIZED (SELECT e.a, e.b, " + ("w / x.d" if alpha is None else "w / sqrt(x.d * y.d)") + " AS w FROM e JOIN d x ON x.a = e.a JOIN d y ON y.a = e.b)",
+        f"p0 AS MATERIALIZED (SELECT vec_id AS node, label, 1.0::DOUBLE AS p FROM embeddings WHERE {_KNOWN})",
+    ]
+    for k in range(rounds):
+        moved = f"SELECT a AS node, label, sum(w * p) AS p FROM walk JOIN p{k} ON walk.b = p{k}.node GROUP BY a, label"
+        if alpha is None:
+            step = f"SELECT node, label, p / sum(p) OVER (PARTITION BY node) AS p FROM ({moved}) WHERE node NOT IN (SELECT node FROM p0) UNION ALL SELECT node, label, p FROM p0"
+        else:
+            step = f"SELECT node, label, sum(p) AS p FROM (SELECT node, label, p * {alpha}::DOUBLE AS p FROM ({moved}) UNION ALL SELECT node, label, p * {1 - alpha}::DOUBLE FROM p0) GROUP BY node, label"
+        out.append(f"p{k + 1} AS MATERIALIZED ({step})")
+    return ", ".join(out) + f" SELECT node, label FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(p, 12) DESC, label) AS r FROM p{rounds}) WHERE r = 1"
+
+
+@query("label_propagation", _spread_sql(5, None))
 def _(t: Tables) -> DataFrame:
     return learners.best_label(learners.propagate(_knn_edges(t), _seeds(t), 5))
 
 
-@query("label_spreading")
+@query("label_spreading", _spread_sql(5, 0.8))
 def _(t: Tables) -> DataFrame:
     return learners.best_label(learners.propagate(_knn_edges(t), _seeds(t), 5, alpha=0.8))
 
 
+#: Gaussian naive Bayes: means and variances by label and place, the variances raised by a billionth of the largest.
+_GAUSSIAN = f"""WITH x AS (SELECT vec_id, label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), tr AS (SELECT * FROM x WHERE NOT ({_KNOWN})),
+  m AS (SELECT label, k, avg(x) AS m, var_pop(x) + 1e-9::DOUBLE * (SELECT max(v) FROM (SELECT var_pop(x) AS v FROM tr GROUP BY k)) AS v, count(*) AS n FROM tr GROUP BY label, k),
+  s AS (SELECT vec_id, m.label, sum(-0.5::DOUBLE * ln(v) - 0.5::DOUBLE * (x - m) * (x - m) / v) + ln(max(n)) AS s FROM x JOIN m USING (k) GROUP BY vec_id, m.label)
+  SELECT vec_id, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, label) AS r FROM s) WHERE r = 1"""
+
+
 def _learner(name: str):
-    @query(f"learner_{name}")
+    @query(f"learner_{name}", _GAUSSIAN if name == "gaussian_nb" else None)
     def _(t: Tables) -> DataFrame:
-        # trained on the first two thirds by a hash, applied to all
-        train = t.embeddings.where(F.crc32(F.col("vec_id").cast("string").cast("binary")) % 3 != 0)
+        # trained on about two thirds, applied to all
+        train = t.embeddings.where(~_known())
         return learners.fit_predict(name, train, t.embeddings)
 
 
@@ -329,7 +409,7 @@ for _name in learners.MODELS:
 @query("kmeans_clusters")
 def _(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", cluster.dense(F.col("embedding")).alias("features"))
-    return cluster.kmeans(rows, 4, 42, 3).transform(rows).select("vec_id", "prediction")
+    return cluster.kmeans(rows, 4, 42, 10).transform(rows).select("vec_id", "prediction")
 
 
 def _capped(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -342,13 +422,13 @@ def _capped(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query("cluster_top_terms")
 def _(t: Tables) -> DataFrame:
     rows, terms = _capped(t)
-    return cluster.centroid_terms(t.spark, cluster.kmeans(rows, 4, 42, 3), [r["term"] for r in terms.orderBy("place").collect()])
+    return cluster.centroid_terms(t.spark, cluster.kmeans(rows, 4, 42, 10), [r["term"] for r in terms.orderBy("place").collect()])
 
 
 @query("cluster_members")
 def _(t: Tables) -> DataFrame:
     rows, _terms = _capped(t)
-    return cluster.members(cluster.kmeans(rows, 2, 42, 3).transform(rows).select("doc_id", "prediction"))
+    return cluster.members(cluster.kmeans(rows, 2, 42, 10).transform(rows).select("doc_id", "prediction"))
 
 
 @query("svd_2d")
@@ -360,7 +440,7 @@ def _(t: Tables) -> DataFrame:
 @query("cluster_scatter")
 def _(t: Tables) -> DataFrame:
     rows, _terms = _capped(t)
-    labels = cluster.kmeans(rows, 4, 42, 3).transform(rows).select("doc_id", "prediction")
+    labels = cluster.kmeans(rows, 4, 42, 10).transform(rows).select("doc_id", "prediction")
     return cluster.truncated_svd(rows, 2).join(labels, "doc_id")
 
 
@@ -408,17 +488,59 @@ def _(t: Tables) -> DataFrame:
     return vision.min_max_scale(_pixels(t), "r", invert=True).select("image", "pos", "r")
 
 
+def _squares(t: Tables) -> DataFrame:
+    """An image of 12 by 8 grey values for each nation."""
+    at = t.nation.select(F.col("n_nationkey").alias("image"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return at.withColumn("v", ((F.col("image") * 37 + F.col("x") * 91 + F.col("y") * 53) % 256).cast("int"))
+
+
+_SQUARES = "sq AS (SELECT n_nationkey AS image, x::INT AS x, y::INT AS y, ((n_nationkey * 37 + x * 91 + y * 53) % 256)::INT AS v FROM nation, (SELECT unnest(range(12)) AS x), (SELECT unnest(range(8)) AS y))"
+
+
+@query("decoded_pixels", f"WITH {_SQUARES} SELECT image, x, y, round(v / 355.0::DOUBLE, 9) AS v FROM sq")
+def _(t: Tables) -> DataFrame:
+    return _rounded(vision.decoded(_squares(t), ["v"]), "v", places=9)
+
+
+@query("flipped_pixels", f"WITH {_SQUARES} SELECT image, CASE WHEN md5(image || ':7:x') < '8' THEN 11 - x ELSE x END AS x, CASE WHEN md5(image || ':7:y') < '8' THEN 7 - y ELSE y END AS y, v FROM sq")
+def _(t: Tables) -> DataFrame:
+    return vision.flipped(_squares(t), 12, 8, 7)
+
+
 @query(
-    "lsb_message",
-    "SELECT n_nationkey AS image, n_name || '###FIN###' AS message FROM nation",
+    "resized_pixels",
+    f"WITH {_SQUARES}, tx AS (SELECT x, floor((x + 0.5::DOUBLE) * 12 / 5 - 0.5::DOUBLE) AS lo, (x + 0.5::DOUBLE) * 12 / 5 - 0.5::DOUBLE AS pos FROM (SELECT unnest(range(5))::INT AS x)), ty AS (SELECT y, floor((y + 0.5::DOUBLE) * 8 / 10 - 0.5::DOUBLE) AS lo, (y + 0.5::DOUBLE) * 8 / 10 - 0.5::DOUBLE AS pos FROM (SELECT unnest(range(10))::INT AS y)), "
+    "wx AS (SELECT x, greatest(0, least(11, lo + i)) AS sx, CASE WHEN i = 0 THEN 1 - (pos - lo) ELSE pos - lo END AS w FROM tx, (SELECT unnest(range(2)) AS i)), wy AS (SELECT y, greatest(0, least(7, lo + i)) AS sy, CASE WHEN i = 0 THEN 1 - (pos - lo) ELSE pos - lo END AS w FROM ty, (SELECT unnest(range(2)) AS i)) "
+    "SELECT image, wx.x, wy.y, round(sum(wx.w * wy.w * v), 6) AS v FROM sq JOIN wx ON sq.x = sx JOIN wy ON sq.y = sy GROUP BY ALL",
 )
 def _(t: Tables) -> DataFrame:
-    # a name, hidden in the lowest bits of grey values with the terminator and more behind it, is read back
+    return _rounded(vision.resized(_squares(t), (12, 8), (5, 10)), "v")
+
+
+def _hidden(t: Tables) -> DataFrame:
+    """image, pos, bit of a name, the terminator and more behind it."""
     hidden = F.concat(F.col("n_name"), F.lit("###FIN###ignored"))
     chars = t.nation.select(F.col("n_nationkey").alias("image"), F.posexplode(F.split(hidden, "")).alias("c", "x")).where("x != ''")
     bits = chars.select("image", "c", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), F.ascii("x").alias("code"))
-    grey = bits.select("image", (F.col("c") * 8 + F.col("k")).alias("pos"), (F.lit(100) + F.floor(F.col("code") / F.pow(F.lit(2), 7 - F.col("k"))).cast("int") % 2).alias("v"))
-    return vision.grey_message(grey)
+    return bits.select("image", (F.col("c") * 8 + F.col("k")).alias("pos"), (F.floor(F.col("code") / F.pow(F.lit(2), 7 - F.col("k"))).cast("int") % 2).alias("bit"))
+
+
+@query("masked_message", "SELECT n_nationkey AS image, n_name || '###FIN###' AS message FROM nation")
+def _(t: Tables) -> DataFrame:
+    # in the value channel of orange pixels, with black ones in between
+    bits = _hidden(t)
+    orange = bits.select("image", (F.col("pos") * 2 + 1).alias("pos"), F.lit(0).alias("b"), F.lit(120).alias("g"), (F.lit(200) + F.col("bit")).alias("r"))
+    black = bits.select("image", (F.col("pos") * 2).alias("pos"), F.lit(0).alias("b"), F.lit(0).alias("g"), F.lit(0).alias("r"))
+    return vision.masked_message(orange.unionByName(black))
+
+
+@query(
+    "lsb_message",
+    "SELECT n_nationkey AS image, n_name || '###FIN###' AS message FROM nation",
+)
+def _(t: Tables) -> DataFrame:
+    # a name in the lowest bits of grey values is read back
+    return vision.grey_message(_hidden(t).select("image", "pos", (F.lit(100) + F.col("bit")).alias("v")))
 
 
 @query("bits_to_text", "SELECT r_regionkey, upper(r_name) AS name FROM region")
@@ -434,3 +556,71 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     out = streams.tumbling_counts(t.events, "ts", "event_type")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
+
+
+# ---- sources and sinks: tables written to the shared folder are read back
+
+
+def _folder(t: Tables, name: str) -> str:
+    return f"{learners.shared_folder(t.spark)}/{name}-{uuid4().hex}"
+
+
+_PARTS = "SELECT p_partkey, p_name || ', \"' || p_type || '\"' AS p_name, p_size FROM part"
+
+
+def _parts(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("p_name"), "p_size")
+
+
+def _csv(t: Tables, bom: bool) -> DataFrame:
+    folder = _folder(t, "csv")
+    files.write_csv(_parts(t), folder, bom)
+    types = {f.name: f.dataType for f in _parts(t).schema}
+    back = files.csv(t.spark, folder)
+    return back.select(*(F.col(c).cast(types[c]) for c in back.columns))
+
+
+@query("csv_round_trip", _PARTS)
+def _(t: Tables) -> DataFrame:
+    return _csv(t, False)
+
+
+@query("csv_marked_round_trip", _PARTS)
+def _(t: Tables) -> DataFrame:
+    return _csv(t, True)
+
+
+@query("json_round_trip", _PARTS)
+def _(t: Tables) -> DataFrame:
+    folder = _folder(t, "json")
+    files.write_json(_parts(t), folder)
+    return t.spark.read.schema(_parts(t).schema).json(folder)
+
+
+@query("json_array_read", "SELECT n_nationkey, n_name FROM nation")
+def _(t: Tables) -> DataFrame:
+    folder = _folder(t, "array")
+    # an array for each of 25 rows, with a line break inside
+    t.nation.select(F.concat(F.lit("[\n"), F.to_json(F.struct("n_nationkey", "n_name")), F.lit("]")).alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").option("lineSep", " ").text(folder)
+    return files.json_array(t.spark, f"{folder}/*", "n_nationkey long, n_name string")
+
+
+@query("text_folder_read", "SELECT n_name || chr(10) AS text FROM nation")
+def _(t: Tables) -> DataFrame:
+    folder = _folder(t, "texts")
+    t.nation.select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").text(folder)
+    return files.text_folder(t.spark, folder).select("text")
+
+
+@query(
+    "feed_items",
+    "SELECT r_name AS source, n_name || ' & <co>' AS title, 'http://x/?a=1&n=' || n_nationkey AS link, '<p>' || n_name || ' &amp; raw</p>' AS summary, NULL AS error, (row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1)::INT AS pos, lower(n_name) || ' ' || lower(n_name) || ' amp raw' AS text_clean FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT NULL, NULL, NULL, NULL, 'not a feed', 0, NULL",
+)
+def _(t: Tables) -> DataFrame:
+    item = F.concat(F.lit("<item><title>"), "n_name", F.lit(" &amp; &lt;co&gt;</title><link>http://x/?a=1&#38;n="), F.col("n_nationkey").cast("string"), F.lit("</link><description><![CDATA[<p>"), "n_name", F.lit(" &amp; raw</p>]]></description></item>"))
+    entries = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", item.alias("x")))).alias("xs"))  # 25 rows
+    body = F.concat(F.lit("<rss><channel><title>"), "r_name", F.lit("</title>"), F.array_join(F.transform("xs", lambda e: e["x"]), ""), F.lit("</channel></rss>"))
+    good = entries.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("url"), body.alias("body"))
+    # what looks like a tag in a title is cleaned away
+    rows = feeds.items(good.unionByName(t.spark.createDataFrame([("none", "no feed")], "url string, body string")))
+    return feeds.with_clean_text(rows).select("source", "title", "link", "summary", "error", "pos", "text_clean")

@@ -375,20 +375,49 @@ def _(t: Tables) -> DataFrame:
     return table.select("label", "fname", F.coalesce(F.col("fval").cast("string"), F.lit("none")).alias("fval"), "n", F.round("p", 9).alias("p"))
 
 
-@query(
-    "nb_predict",
-    f"""WITH {_FEATS}, pri AS (SELECT label, ln((n_label + 0.5::DOUBLE) / ((SELECT sum(n_label) FROM nl) + 0.5::DOUBLE * (SELECT count(*) FROM nl))) AS lp FROM nl),
+_PREDICTED = f"""{_FEATS}, pri AS (SELECT label, ln((n_label + 0.5::DOUBLE) / ((SELECT sum(n_label) FROM nl) + 0.5::DOUBLE * (SELECT count(*) FROM nl))) AS lp FROM nl),
   p0 AS (SELECT label, fname, min(0.5::DOUBLE * p / (n + 0.5::DOUBLE)) AS p0 FROM tab GROUP BY ALL),
   ev AS (SELECT f.doc_id, p0.label, sum(ln(coalesce(tab.p, p0.p0))) AS s FROM f JOIN p0 USING (fname) LEFT JOIN tab ON tab.label = p0.label AND tab.fname = f.fname AND tab.fval = f.fval GROUP BY ALL),
   s AS (SELECT d.doc_id, pri.label, pri.lp + coalesce(ev.s, 0) AS s FROM documents d CROSS JOIN pri LEFT JOIN ev ON ev.doc_id = d.doc_id AND ev.label = pri.label),
-  x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id)) AS x FROM s), p AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id) AS p FROM x)
-  SELECT doc_id, label, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 12) DESC, label DESC) AS r FROM p) WHERE r = 1""",
-)
+  x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id)) AS x FROM s), p AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id) AS p FROM x),
+  predicted AS (SELECT doc_id, label, p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 12) DESC, label DESC) AS r FROM p) WHERE r = 1)"""
+
+
+@query("nb_predict", f"WITH {_PREDICTED} SELECT doc_id, label, round(p, 6) AS p FROM predicted")
 def _(t: Tables) -> DataFrame:
     feats, labels = _nb(t)
     return classify.predict(t.documents, feats, classify.train(feats, labels)).withColumn("p", F.round("p", 6))
 
 
+@query("score_table", f"WITH {_PREDICTED} SELECT text AS texto, CASE WHEN label = 1 THEN 'good' ELSE 'bad' END AS prediccion, printf('%.2f', p) AS confianza FROM predicted JOIN documents USING (doc_id)")
+def _(t: Tables) -> DataFrame:
+    feats, labels = _nb(t)
+    return classify.score_table(t.documents, classify.predict(t.documents, feats, classify.train(feats, labels)), {0: "bad", 1: "good"})
+
+
+def _events_sql(kind: str) -> str:
+    p = {"multinomial": "ln((coalesce(s.n, 0) + 1)::DOUBLE / (mass + (SELECT count(*) FROM v))) AS yes, 0 AS no", "bernoulli": "ln((coalesce(s.n, 0) + 1)::DOUBLE / (n_label + 2)) AS yes, ln(1 - (coalesce(s.n, 0) + 1)::DOUBLE / (n_label + 2)) AS no"}[kind]
+    n, w = ("sum(tf)", "tf * yes") if kind == "multinomial" else ("count(*)", "yes - no")
+    return f"""WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK}) AS term FROM documents) GROUP BY ALL), l AS (SELECT doc_id, quality AS label FROM labels WHERE quality IS NOT NULL), nl AS (SELECT label, count(*) AS n_label FROM l GROUP BY label),
+  s AS (SELECT label, term, {n} AS n FROM c JOIN l USING (doc_id) GROUP BY ALL), v AS (SELECT DISTINCT term FROM s), m AS (SELECT label, sum(n) AS mass FROM s GROUP BY label),
+  p AS (SELECT nl.label, v.term, {p} FROM nl JOIN m USING (label) CROSS JOIN v LEFT JOIN s ON s.label = nl.label AND s.term = v.term), base AS (SELECT label, sum(no) AS base FROM p GROUP BY label),
+  e AS (SELECT doc_id, label, sum({w}) AS e FROM c JOIN p USING (term) GROUP BY ALL),
+  x AS (SELECT d.doc_id, nl.label, ln(n_label::DOUBLE / (SELECT sum(n_label) FROM nl)) + base + coalesce(e, 0) AS s FROM documents d CROSS JOIN nl JOIN base USING (label) LEFT JOIN e ON e.doc_id = d.doc_id AND e.label = nl.label)
+  SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, label) AS r FROM x) WHERE r = 1"""
+
+
+def _events(kind: str):
+    @query(f"{kind}_nb", _events_sql(kind))
+    def _(t: Tables) -> DataFrame:
+        counts = learners.checkpointed(vsm.term_counts(t.documents))
+        model = classify.train_events(counts, t.labels.select("doc_id", F.col("quality").alias("label")), kind)
+        return classify.predict_events(t.documents, counts, model, kind)
+
+
+for _kind in ("multinomial", "bernoulli"):
+    _events(_kind)
+
+
 @query("nb_predict_stemmed")
 def _(t: Tables) -> DataFrame:
     feats, labels = _nb(t, stemmed=True)
@@ -400,6 +429,17 @@ def _(t: Tables) -> DataFrame:
     return classify.features(t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text"), lexicon.stop_words("es"), sarcasm=True).groupBy("fname", "fval").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "sarcasm_features_plain",
+    rf"""WITH n AS (SELECT coalesce(text, '') AS raw, {NORM} AS norm FROM conversations), f AS (SELECT 'HAS_EXCLAMATION' AS fname, contains(raw, '!') AS fval FROM n UNION ALL SELECT 'HAS_ELLIPSIS', contains(raw, '...') FROM n UNION ALL SELECT 'LONG_TEXT', length(norm) > 100 FROM n
+    UNION ALL SELECT 'HYPERBOLE_START', {' OR '.join(f"starts_with(lower(raw), '{w}')" for w in HYPERBOLE)} FROM n UNION ALL SELECT 'w=' || unnest(list_distinct(list_filter(regexp_extract_all(norm, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2 AND NOT list_contains({_list(INLINE_STOP_WORDS)}, x)))), true FROM n)
+    SELECT fname, fval, count(*) AS n FROM f GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    feats = classify.features(t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text"), INLINE_STOP_WORDS, stemmed=False, sarcasm=True)
+    return feats.groupBy("fname", "fval").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _predictor(feats: DataFrame):
     def predict(known: DataFrame, rest: DataFrame) -> DataFrame:
         own = feats.join(rest, "doc_id", "left_semi")

@@ -87,3 +87,44 @@ def test_neighbours_and_propagation(spark):
     for alpha in (None, 0.5):
         got = {r["node"]: r["label"] for r in learners.best_label(learners.propagate(edges, seeds, 3, alpha)).collect()}
         assert got == {0: 7, 1: 7, 2: 8, 3: 8}
+
+
+def test_event_models_against_brute_force(spark):
+    import math
+
+    from corvina.operators import classify
+
+    texts = {0: "a a b", 1: "b c", 2: "c c c d", 3: "a d z", 4: ""}
+    labels = {0: "x", 1: "x", 2: "y"}
+    counts = [(d, w, t.split().count(w)) for d, t in texts.items() for w in set(t.split())]
+    docs = spark.createDataFrame([(d,) for d in texts], "doc_id long")
+    c = spark.createDataFrame(counts, "doc_id long, term string, tf long")
+    known = spark.createDataFrame([*labels.items(), (4, None)], "doc_id long, label string")
+    vocabulary = {w for d in labels for w in texts[d].split()}
+    for kind in ("multinomial", "bernoulli"):
+        want = {}
+        for d, text in texts.items():
+            scores = {}
+            for label in "xy":
+                own = [texts[k].split() for k, v in labels.items() if v == label]
+                s = math.log(len(own) / len(labels))
+                if kind == "multinomial":
+                    mass = sum(map(len, own))
+                    s += sum(math.log((sum(o.count(w) for o in own) + 1) / (mass + len(vocabulary))) for w in text.split() if w in vocabulary)
+                else:
+                    for w in vocabulary:
+                        p = (sum(w in o for o in own) + 1) / (len(own) + 2)
+                        s += math.log(p if w in text.split() else 1 - p)
+                scores[label] = round(s, 9)
+            want[d] = min(scores, key=lambda k: (-scores[k], k))
+        got = classify.predict_events(docs, c, classify.train_events(c, known, kind), kind)
+        assert {r["doc_id"]: r["label"] for r in got.collect()} == want
+
+
+def test_score_table(spark):
+    from corvina.operators import classify
+
+    docs = spark.createDataFrame([(1, "hola"), (2, None)], "doc_id long, text string")
+    predicted = spark.createDataFrame([(1, "sar", 0.876), (2, "nor", 0.5)], "doc_id long, label string, p double")
+    got = classify.score_table(docs, predicted, {"sar": "Sarcástico"}).collect()
+    assert sorted(map(tuple, got), key=str) == [("hola", "Sarcástico", "0.88"), (None, "nor", "0.50")]

@@ -55,3 +55,17 @@ def test_coverage_and_prefixes(g, spark):
     want = spark.createDataFrame([("autor",), ("isbn",)], "p string")
     assert {r["p"]: r["present"] for r in graph.coverage(g, want).collect()} == {"autor": True, "isbn": False}
     assert graph.expand({"ex": "http://e/"}, "ex:a") == "http://e/a" and graph.expand({}, "ex:a") == "ex:a"
+
+
+def test_optional_and_aggregate(spark):
+    from pyspark.sql import functions as F
+
+    from corvina.operators import graph
+
+    g = graph.graph(spark.createDataFrame([("a", "kind", "k1"), ("b", "kind", "k1"), ("c", "kind", "k2"), ("a", "name", "A")], graph.TRIPLE))
+    found = graph.optional(graph.bgp(g, [("?x", "kind", "?k")]), g, [("?x", "name", "?n")])
+    assert sorted(map(tuple, found.select("x", "k", "n").collect()), key=str) == [("a", "k1", "A"), ("b", "k1", None), ("c", "k2", None)]
+    top = graph.aggregate(found, ["k"], having=F.col("n_x") > 1, order=["k"], limit=5, n_x=F.count("x"))
+    assert [tuple(r) for r in top.collect()] == [("k1", 2)]
+    with pytest.raises(ValueError):
+        graph.optional(found, g, [("?other", "name", "?m")])

@@ -71,3 +71,11 @@ def test_proximity(spark):
     assert ids(index.near(ts, "uno", "tres", 1)) == []
     assert ids(index.near(ts, "uno", "tres", 2)) == ["p"]
     assert ids(index.same_sentence(F.col("text"), "uno", "dos")) == ["p"]
+
+
+def test_recommendations(spark):
+    from corvina.operators import learners
+
+    near = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.25), (0, 3, -1.0)], "query_id long, vec_id long, score double")
+    ratings = spark.createDataFrame([(0, "seen", 5.0), (1, "seen", 5.0), (1, "p", 4.0), (2, "p", 1.0), (2, "q", 3.0), (3, "r", 5.0)], "vec_id long, item string, rating double")
+    assert [tuple(r) for r in learners.recommend(near, ratings, 5).orderBy("rank").collect()] == [(0, 1, "p", 3.0), (0, 2, "q", 3.0)]

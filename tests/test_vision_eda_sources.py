@@ -104,3 +104,38 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("text string").parquet(str(tmp_path / "in"))
     streams.run_available(streams.cleaned(stream), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted(r["text_clean"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["dos", "uno"]
+
+
+def test_paging_until_enough_rows(spark, tmp_path):
+    # pages of 3, 3 and 1 rows, although 4 are asked for
+    for o, n in ((0, 3), (3, 3), (6, 1)):
+        (tmp_path / f"p{o}.json").write_text(json.dumps({"rows": [{"row": {"id": o + i, "text": f"t{o + i}"}} for i in range(n)]}))
+    url = f"file://{tmp_path}/p{{offset}}.json"
+    ids = lambda n: sorted(int(r["id"]) for r in paged.read_until(spark, url, n, 4).collect())
+    assert ids(5) == list(range(5)) and ids(7) == ids(50) == list(range(7))
+
+
+def test_decoded_flipped_resized(spark):
+    p = spark.createDataFrame([(i, x, y, 10 * x + y) for i in range(20) for x in range(4) for y in range(2)], "image int, x int, y int, v int")
+    assert abs(vision.decoded(p, ["v"]).agg(F.max("v")).first()[0] - 31 / 355) < 1e-12
+    turned = {(r["image"], r["x"], r["y"]): r["v"] for r in vision.flipped(p, 4, 2, 3).collect()}
+    corners = {turned[i, 0, 0] for i in range(20)}
+    assert len(turned) == 160 and corners == {0, 1, 30, 31}
+    same = vision.resized(p, (4, 2), (4, 2)).join(p.withColumnRenamed("v", "w"), ["image", "x", "y"]).where("abs(v - w) < 1e-9").count()
+    assert same == 160
+    half = {(r["x"], r["y"]): r["v"] for r in vision.resized(p, (4, 2), (2, 1)).where("image = 0").collect()}
+    assert half == {(0, 0): 5.5, (1, 0): 25.5}
+    wide = {r["x"]: r["v"] for r in vision.resized(p, (4, 2), (8, 2)).where("image = 0 and y = 0").collect()}
+    assert [wide[x] for x in range(8)] == [0, 2.5, 7.5, 12.5, 17.5, 22.5, 27.5, 30]
+
+
+def test_exact_density(spark):
+    import math
+    import statistics
+
+    xs = [1.0, 2.0, 2.0, 5.0]
+    d = spark.createDataFrame([("a", x) for x in xs] + [("a", None), ("b", 3.0)], "g string, x double")
+    got = eda.density(d, "g", "x", 5).orderBy("i").collect()
+    h = statistics.stdev(xs) * len(xs) ** -0.2
+    want = [sum(math.exp(-0.5 * ((p - x) / h) ** 2) for x in xs) / (len(xs) * h * math.sqrt(2 * math.pi)) for p in (1, 2, 3, 4, 5)]
+    assert [r["g"] for r in got] == ["a"] * 5 and all(abs(r["density"] - w) < 1e-12 for r, w in zip(got, want))
