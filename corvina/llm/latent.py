@@ -256,8 +256,12 @@ def _frequencies(chunks: DataFrame, terms: int) -> tuple[np.ndarray, int]:
 
 
 def _summed(chunks: DataFrame, matrix: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """AᵀA times the matrix, A being the passages of all documents; sums by blocks of terms."""
-    terms, width, rows = len(matrix), matrix.shape[1], 512
+    """AᵀA times the matrix, A being the passages of all documents.
+
+    Sums go by blocks of a few terms, each to a partition of its own, which
+    reads a block's rows from every task and holds one.
+    """
+    terms, width, rows = len(matrix), matrix.shape[1], 16
     shared = chunks.sparkSession.sparkContext.broadcast((matrix, idf))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,7 +274,7 @@ def _summed(chunks: DataFrame, matrix: np.ndarray, idf: np.ndarray) -> np.ndarra
                     total += p.transposed_times(p.times_weighted(m), terms)
         for s in range(0, terms, rows):
             if total[s : s + rows].any():
-                yield pd.DataFrame({"block": [s], "sums": [total[s : s + rows].astype("<f8").tobytes()]})
+                yield pd.DataFrame({"block": [s // rows], "sums": [total[s : s + rows].astype("<f8").tobytes()]})
 
     def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, total = None, None
@@ -286,11 +290,11 @@ def _summed(chunks: DataFrame, matrix: np.ndarray, idf: np.ndarray) -> np.ndarra
         if block is not None:
             yield pd.DataFrame({"block": [block], "sums": [total.tobytes()]})
 
-    schema = "block long, sums binary"
+    schema = "block int, sums binary"
     out = np.zeros((terms, width))
-    for r in chunks.mapInPandas(run, schema).repartition(-(-terms // rows), "block").sortWithinPartitions("block").mapInPandas(add, schema).collect():  # terms * width numbers
-        x = np.frombuffer(bytes(r["sums"]), "<f8").reshape(-1, width)
-        out[r["block"] : r["block"] + len(x)] = x
+    for r in chunks.mapInPandas(run, schema).repartitionById(-(-terms // rows), "block").sortWithinPartitions("block").mapInPandas(add, schema).collect():  # terms * width numbers
+        x, first = np.frombuffer(bytes(r["sums"]), "<f8").reshape(-1, width), r["block"] * rows
+        out[first : first + len(x)] = x
     return out
 
 
