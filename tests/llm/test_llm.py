@@ -410,7 +410,8 @@ def test_held_out_labels_do_not_teach(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     seen = []
     monkeypatch.setattr(toxicity, "fit", lambda docs, labels: seen.extend({r["doc_id"] for r in x.collect()} for x in (docs, labels)))
-    monkeypatch.setattr(toxicity, "column", lambda *_: F.lit(0.0))
+    nothing = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<array<double>>").alias("spans"))
+    monkeypatch.setattr(toxicity, "scorer", lambda *_: lambda text: nothing)
     held = {r["doc_id"] for r in queries.op4_toxicity(spark, str(tmp_path)).where("held_out").collect()}
     assert held and seen[0] == seen[1] == set(range(80)) - held
 
