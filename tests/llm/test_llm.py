@@ -527,6 +527,39 @@ def test_quality_keeps_clean_text(spark, odd, empty):
     assert kneser.classify(empty, labels).count() == 0
 
 
+def test_all_trusted_rows_take_part(spark, monkeypatch):
+    labels = spark.range(200_100).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    trusted = kneser.trusted_ids(labels)
+    assert trusted.count() == 200_100
+    ids = trusted.select("_id").where("_id % 3 != 0").unionByName(spark.createDataFrame([(-(2**62),), (2**62 + 1,)], "_id long"))
+    rows = spark.createDataFrame([(i, str(i)) for i in (-1, 0, 1, 2, 2, 3, 4, 199_999, 200_099, 200_100, None, -(2**62), 2**62, 2**62 + 1)], "_id long, text string")
+    want = sorted(map(str, (1, 2, 2, 4, 199_999, 200_099, -(2**62), 2**62 + 1)))
+    got = lambda r, i: sorted(x["text"] for x in kneser.having(r, i).collect())
+    assert got(rows, ids) == want and got(rows, ids.limit(0)) == []
+    as_text = lambda df: df.withColumn("_id", F.col("_id").cast("string"))
+    assert got(as_text(rows), as_text(ids)) == want
+    monkeypatch.setattr(kneser, "MAX_LISTED", 10)
+    assert got(rows, ids) == want
+
+
+def test_quality_thresholds_are_exact(spark):
+    held = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("lang"), F.pow(F.rand(5) * 10, 6).alias("x"))
+    held = held.unionByName(spark.createDataFrame([("c", 2.0)] * 60 + [("c", 1.0)] * 40 + [("c", None), ("d", 7.0)], "lang string, x double")).cache()
+    values = {}
+    for r in held.where("x is not null").collect():
+        values.setdefault(r["lang"], []).append(r["x"])
+    for q in (0.98, 0.4):
+        got = {r["lang"]: r["quantile"] for r in kneser.quantiles(held, "lang", "x", q).collect()}
+        assert got == {k: sorted(v)[math.ceil(len(v) * q) - 1] for k, v in values.items()}
+
+
+def test_ids_beside_null_stay_exact(spark):
+    big = 2**53 + 1
+    d = spark.createDataFrame([(big, "a b a b", "en"), (None, "a b", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["role"], r["lang"]) for r in kneser.perplexities(d, spark.createDataFrame([(big, "train")], "_id long, _role string")).collect()}
+    assert got == {big: ("train", "en"), None: (None, None)}
+
+
 # ---- decontamination
 
 
