@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvina.llm import simhash
-from corvina.llm.common import cut, join_hot
+from corvina.llm.common import cut, join_hot, slices
 from corvina.llm.components import components
 
 #: Bands of minimal hashes, and hashes in a band.
@@ -146,7 +146,7 @@ def classes(docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in slices(frames):
             own = [shingles(t, shingle) for t in f["text"]]
             yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "node": [node_of(x) for x in own], "n": [len(x) for x in own], "fp": [simhash.majority(x, WORDS) for x in own], "bands": [bands(x) for x in own]})
 
@@ -158,7 +158,7 @@ def classes(docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc
         """node, hashes of the nodes wanted, each read from one row that holds it."""
 
         def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
+            for f in slices(frames):
                 yield pd.DataFrame({"node": f["node"], "hashes": [shingles(t, shingle).tobytes() for t in f["text"]]})
 
         wanted = cut(nodes.select("node", F.col("first.key").alias("_key")).join(wanted, "node", "left_semi"))
@@ -211,7 +211,8 @@ def classes(docs: DataFrame, similarity: float, shingle: int, id_col: str = "doc
     dealt = pairs.select("grp", "i", "j", F.lit(0).alias("side"), F.col("i").alias("block")).unionByName(pairs.where("i != j").select("grp", "i", "j", F.lit(1).alias("side"), F.col("j").alias("block")))
     hashes = sets(member.select("node"))
     rows = member.join(dealt, ["grp", "block"]).select("grp", "i", "j", "side", "node", "part").join(hashes, "node").select("grp", "i", "j", "side", "node", "part", "hashes")
-    more = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "node").mapInPandas(_joined(similarity), "a long, b long")
+    # cut off, as are all links: two Python operators in one stage would take a worker each, and workers stay
+    more = cut(rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "side", "node").mapInPandas(_joined(similarity), "a long, b long"))
 
     linked = components(tight.unionByName(more))
     named = nodes.select("node", "first", "rows").join(linked, "node", "left").select("node", "first", "rows", F.coalesce("component", "node").alias("part"))

@@ -38,6 +38,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvina.llm.common import give_back
+
 #: Bounds of the labelled sample: rows of either class, and characters of all.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 3_000, 5_000, 64_000_000
 #: A feature needs so many documents of the sample.
@@ -52,7 +54,7 @@ CONFIDENCE, TRAIN_TOKENS, PASSES = 2.0, 300_000, 2
 KINDS = 4
 PREFIXES = (4, 5, 6, 7, 8)
 #: Tokens of one scan; a longer document is a scan of its own.
-SCAN = 500_000
+SCAN = 100_000
 REMEMBERED, LONGEST = 400_000, 64
 #: Marginals from here on make a span.
 SPAN_AT = 0.5
@@ -331,9 +333,13 @@ def scorer(docs: DataFrame, m: Model):
     @F.pandas_udf(kind)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = _Levels(shared.value.levels)
-        for batch in batches:
-            values, found = _scored(shared.value, list(batch), memo)
-            yield pd.DataFrame({"score": values, "spans": [[[float(a), float(b), p] for a, b, p in f] for f in found]})
+        try:
+            for batch in batches:
+                values, found = _scored(shared.value, list(batch), memo)
+                yield pd.DataFrame({"score": values, "spans": [[[float(a), float(b), p] for a, b, p in f] for f in found]})
+        finally:
+            memo.clear()
+            give_back()
 
     return score
 

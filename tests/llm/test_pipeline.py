@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from corvina.llm import neardup, secrets
+from corvina.llm import neardup, secrets, toxicity
 
 WORDS = ["".join(random.Random(i).choice(("ka", "lo", "mi", "ne", "ru")) for _ in range(1 + i % 4)) + str(i % 7) for i in range(3000)]
 
@@ -103,6 +103,35 @@ def test_near_duplicates_equal_brute_force(spark, tmp_path, monkeypatch, block):
     assert pipeline.drop_near_duplicates(spark, d.limit(0), str(tmp_path)).count() == 0
 
 
+def test_one_python_worker_a_task(spark, tmp_path, monkeypatch):
+    """Links come from Python and are contracted in Python: in one stage a task would hold two workers, which stay."""
+    plans = []
+
+    def components(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return found(edges)
+
+    found = neardup.components
+    monkeypatch.setattr(neardup, "components", components)
+    d = spark.createDataFrame([(1, text(1, 30)), (2, text(1, 30) + " otra"), (3, text(2, 30)), (4, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect()) == [1, 3, 4]
+    assert len(plans) == 3 and not any("MapInPandas" in p for p in plans)
+
+
+def test_scoring_holds_few_tokens(monkeypatch):
+    """A worker's arrays for a batch of 500,000 tokens, which several executors' tasks hold at once."""
+    held = []
+    chain = toxicity.forward_backward
+    monkeypatch.setattr(toxicity, "forward_backward", lambda level, first, m: held.append(len(level)) or chain(level, first, m))
+    texts = [text(i, 500) for i in range(1000)]
+    m = toxicity.Model(levels={f: 5 for f in toxicity._features("kalo")})
+    m.document[1:] = 1.0
+    scores, spans = toxicity._scored(m, texts, toxicity._Levels(m.levels))
+    assert len(scores) == len(spans) == 1000 and sum(held) >= 500_000 and max(held) <= 101_000
+    alone = [toxicity._scored(m, [t], toxicity._Levels(m.levels))[0][0] for t in texts[:20]]
+    assert max(abs(scores[:20] - alone)) < 1e-12
+
+
 def test_toxic_threshold_is_that_of_the_query(spark, tmp_path, monkeypatch):
     d = spark.createDataFrame([(i, "uno", i / 10) for i in range(10)], "doc_id long, text string, s double")
     spark.createDataFrame([(1, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
