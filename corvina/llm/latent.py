@@ -42,14 +42,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvina.llm.common import cut
+from corvina.llm.common import cut, give_back
 
 WINDOW, RANK, OVERSAMPLE, SEED = 32, 128, 16, 11
 MAX_ITEMS, MAX_CHARS = 20_000, 16_000_000
 #: Words of a chunk: a longer document is a chunk of its own.
 CHUNK = 250_000
-#: Passages whose sums run on in one array.
-RUN = 1_024
+#: Passages that are compared with the items at once, and whose vectors are summed at once.
+RUN, SUM_RUN = 1_024, 16_384
+#: Rows that are added one after the other, and groups of them that are added side by side, which a core's cache holds.
+PIECE, SIDE = 16, 512
 #: Terms in at most this share of the passages are content terms.
 COMMON = 0.02
 MIN_COSINE, VERBATIM, PARAPHRASE, CONTENT, ANSWER = 0.4, 0.8, 0.55, 0.6, 0.6
@@ -57,6 +59,10 @@ MIN_COSINE, VERBATIM, PARAPHRASE, CONTENT, ANSWER = 0.4, 0.8, 0.55, 0.6, 0.6
 MIN_WORDS, SHORT_CHARS = 5, 20
 
 _WORD = re.compile(r"[^\W_]+")
+#: What ends words: beyond ASCII by this expression, in ASCII by this table of bytes.
+_BREAK = re.compile(r"[^\w\x00-\x7f]+")
+_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_LOWER = _BYTES.lower()
 _SENTENCE = re.compile(r"(?<=[.!?。？！])\s+|\n+")
 _ID = "id"
 
@@ -65,6 +71,15 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def encoded_words(text: str | None) -> list[bytes]:
+    """The same words in UTF-8, for documents, of which there are many."""
+    if not text:
+        return []
+    if text.isascii():
+        return text.encode().translate(_LOWER).split()
+    return _BREAK.sub(" ", text.lower()).encode().translate(_BYTES).split()
+
+
 @dataclass
 class Item:
     item_id: int
@@ -135,60 +150,102 @@ def _weighted(m: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return m.astype(np.float32) * idf.astype(np.float32)[:, None]
 
 
+def group_sums(m: np.ndarray, at: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each group the sum of the rows ``m[at[first : first + size]]``.
+
+    Groups are added side by side, the largest first, so that those which
+    have a next row are always the first ones; long groups go in pieces.
+    """
+    pieces = -(-size // PIECE)
+    if len(size) and pieces.max() > 1:
+        begin = np.cumsum(pieces) - pieces
+        k = (np.arange(pieces.sum()) - np.repeat(begin, pieces)) * PIECE
+        part = group_sums(m, at, np.repeat(first, pieces) + k, np.minimum(np.repeat(size, pieces) - k, PIECE))
+        return group_sums(part, np.arange(len(part)), begin, pieces)
+    out = np.zeros((len(size), m.shape[1]), m.dtype)
+    order = np.argsort(-size.astype(np.int8), kind="stable")
+    held, row = np.empty((SIDE, m.shape[1]), m.dtype), np.empty((SIDE, m.shape[1]), m.dtype)
+    for s in range(0, len(order), SIDE):
+        groups = order[s : s + SIDE]
+        begin, rest = first[groups], -size[groups]
+        n = int(np.searchsorted(rest, 0))
+        np.take(m, at[begin[:n]], axis=0, out=held[:n], mode="clip")
+        for j in range(1, -int(rest[0])):
+            k = int(np.searchsorted(rest, -j))
+            np.take(m, at[begin[:k] + j], axis=0, out=row[:k], mode="clip")
+            held[:k] += row[:k]
+        out[groups[:n]] = held[:n]
+    return out
+
+
 class Passages:
-    """The windows of a chunk over its content terms: weights of occurrences and window bounds among them."""
+    """The windows of a chunk over its content terms.
+
+    A window is two neighbouring cells of half its length, so each
+    occurrence is added once for the two windows that hold it.
+    """
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray):
+        step = WINDOW // 2
         start, end, doc = _starts(sizes)
-        at = np.flatnonzero(idf[ids] > 0)
-        self.ids, self.idf = ids[at], idf.astype(np.float32)
-        lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
+        self.at = np.flatnonzero(idf[ids] > 0)
+        self.ids, self.idf = ids[self.at], idf.astype(np.float32)
+        lo, hi = np.searchsorted(self.at, start), np.searchsorted(self.at, end)
         keep = hi - lo >= 2
         self.lo, self.hi, self.start, self.end, self.doc = lo[keep], hi[keep], start[keep], end[keep], doc[keep]
         squares = np.r_[0.0, np.cumsum(idf[self.ids] ** 2)]
         self.norm = np.sqrt(np.maximum(squares[self.hi] - squares[self.lo], 1e-12)).astype(np.float32)
+        # a document's windows and one more cell, which ends it
+        last = np.r_[doc[1:] != doc[:-1], True][: len(doc)]
+        cell = np.arange(len(doc)) + np.cumsum(last) - last
+        bounds = np.zeros(len(doc) + int(last.sum()) + 1, np.int64)
+        bounds[cell] = lo
+        bounds[cell[last] + 1] = np.minimum(np.searchsorted(self.at, start[last] + step), hi[last])
+        bounds[-1] = len(self.at)
+        self.cell, self.first, self.size = cell[keep], bounds[:-1], np.diff(bounds)
+
+    def __len__(self) -> int:
+        return len(self.cell)
 
     def times(self, m: np.ndarray) -> np.ndarray:
         """Rows of the normalised TF-IDF matrix times m."""
         return self.times_weighted(_weighted(m, self.idf))
 
-    def times_weighted(self, m: np.ndarray) -> np.ndarray:
-        """The same for an m whose rows have the terms' weights, which all occurrences share; single precision, in runs short enough for its sums."""
-        out = np.empty((len(self.lo), m.shape[1]), np.float32)
-        for s in range(0, len(self.lo), RUN):
-            lo, hi = self.lo[s : s + RUN], self.hi[s : s + RUN]
-            a, b = lo.min(), hi.max()
-            sums = np.zeros((b - a + 1, m.shape[1]), np.float32)
-            np.cumsum(m[self.ids[a:b]], axis=0, out=sums[1:])
-            here = out[s : s + RUN]
-            np.take(sums, hi - a, axis=0, out=here)
-            here -= sums[lo - a]
-        out /= self.norm[:, None]
+    def times_weighted(self, m: np.ndarray, s: int = 0, e: int | None = None) -> np.ndarray:
+        """The same of the windows from s to e, for an m whose rows have the terms' weights, which all occurrences share; single precision."""
+        cell = self.cell[s:e]
+        if not len(cell):
+            return np.empty((0, m.shape[1]), np.float32)
+        a, b = cell[0], cell[-1] + 2
+        sums = group_sums(m, self.ids, self.first[a:b], self.size[a:b])
+        out = sums[cell - a]
+        out += sums[cell + 1 - a]
+        out /= self.norm[s:e, None]
         return out
 
     def transposed_times(self, y: np.ndarray, terms: int) -> np.ndarray:
-        """The matrix's transpose times y, one row per passage.
-
-        Bounds of windows ascend, so the windows that hold an occurrence are a
-        run, whose sum is a difference of running sums.
-        """
+        """The matrix's transpose times y, one row per passage."""
         out = np.zeros((terms, y.shape[1]))
-        y = y / self.norm[:, None]
-        for s in range(0, len(self.lo), RUN):
-            lo, hi = self.lo[s : s + RUN], self.hi[s : s + RUN]
-            a, b = lo.min(), hi.max()
-            sums = np.zeros((len(lo) + 1, y.shape[1]), np.float32)
-            np.cumsum(y[s : s + RUN], axis=0, out=sums[1:])
-            order = np.argsort(self.ids[a:b].astype(np.int32), kind="stable")
-            ids = self.ids[a:b][order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1]
-            held = sums[np.searchsorted(lo, order + a, "right")]
-            held -= sums[np.searchsorted(hi, order + a, "right")]
-            # most words occur once in a run
-            out[ids[cuts]] += held if len(cuts) == len(ids) else np.add.reduceat(held, cuts, axis=0)
+        self.add_transposed(y, out)
         out *= self.idf[:, None]
         return out
 
+    def add_transposed(self, y: np.ndarray, out: np.ndarray, s: int = 0, e: int | None = None) -> None:
+        """Adds to ``out`` what the windows from s to e, whose rows are y, give to the terms, which are yet to be weighted."""
+        cell = self.cell[s:e]
+        if not len(cell):
+            return
+        a, b = cell[0], cell[-1] + 2
+        y = (y / self.norm[s:e, None]).astype(np.float32, copy=False)
+        cells = np.zeros((b - a, y.shape[1]), np.float32)
+        cells[cell - a] = y
+        cells[cell + 1 - a] += y
+        ids = self.ids[self.first[a] : self.first[b - 1] + self.size[b - 1]]
+        order = np.argsort(ids.astype(np.int32), kind="stable")
+        ids = ids[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1]
+        out[ids[cuts]] += group_sums(cells, np.repeat(np.arange(b - a), self.size[a:b])[order], cuts, np.diff(np.r_[cuts, len(ids)]))
+
 
 def _open(sizes: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(zstandard.decompress(bytes(ids)), "<i4").astype(np.int64), np.frombuffer(zstandard.decompress(bytes(sizes)), "<i8")
@@ -204,7 +261,7 @@ def _pack(docs: DataFrame, index, id_type: str) -> DataFrame:
 
         for f in frames:
             for key, text in zip(f[_ID], f["text"]):
-                ws = words(text)
+                ws = encoded_words(text)
                 x = np.fromiter(map(get, ws, repeat(0)), "<i4", len(ws))
                 ids.append(x)
                 sizes.append(len(x))
@@ -215,6 +272,8 @@ def _pack(docs: DataFrame, index, id_type: str) -> DataFrame:
                     ids, sizes, keys, held = [], [], [], 0
         if ids:
             yield out()
+        del ids, sizes, keys
+        give_back()
 
     return cut(docs.mapInPandas(run, f"ids_of array<{id_type}>, sizes binary, ids binary"))
 
@@ -270,8 +329,10 @@ def _summed(chunks: DataFrame, matrix: np.ndarray, idf: np.ndarray) -> np.ndarra
         for f in frames:
             for sizes, packed in zip(f["sizes"], f["ids"]):
                 p = Passages(*_open(sizes, packed), idf)
-                if len(p.lo):
-                    total += p.transposed_times(p.times_weighted(m), terms)
+                for s in range(0, len(p), SUM_RUN):
+                    p.add_transposed(p.times_weighted(m, s, s + SUM_RUN), total, s, s + SUM_RUN)
+        total *= idf[:, None]
+        give_back()
         for s in range(0, terms, rows):
             if total[s : s + rows].any():
                 yield pd.DataFrame({"block": [s // rows], "sums": [total[s : s + rows].astype("<f8").tobytes()]})
@@ -301,7 +362,7 @@ def _summed(chunks: DataFrame, matrix: np.ndarray, idf: np.ndarray) -> np.ndarra
 def _basis(chunks: DataFrame, items: list[Item], idf: np.ndarray, passages: int, rank: int) -> np.ndarray:
     """Right singular vectors of the TF-IDF passages: terms x rank."""
     own = Passages(np.concatenate([np.array(i.ids) for i in items]), np.array([len(i.ids) for i in items]), idf)
-    weight = max(1.0, passages / max(1, len(own.lo)))
+    weight = max(1.0, passages / max(1, len(own)))
     width = min(rank + OVERSAMPLE, len(idf))
     q = np.random.default_rng(SEED).standard_normal((len(idf), width))
     for _ in range(2):  # a range finder and one power iteration
@@ -323,7 +384,7 @@ def _search_block(docs: DataFrame, rows: list, id_type: str, rank: int) -> DataF
         return None
     sc = docs.sparkSession.sparkContext
     terms = len(index) + 1
-    chunks = _pack(docs, sc.broadcast(index), id_type)
+    chunks = _pack(docs, sc.broadcast({w.encode("utf-8", "surrogatepass"): x for w, x in index.items()}), id_type)
     by_first: dict[int, list[Short]] = {}
     for i in short:
         by_first.setdefault(i.ids[0], []).append(i)
@@ -354,35 +415,43 @@ def _search_block(docs: DataFrame, rows: list, id_type: str, rank: int) -> DataF
             for k, x in enumerate(it.ids):
                 m[x] = m.get(x, 0) | 1 << k
             masks.append((m, frozenset(x for x in it.ids if idf[x] > 0), frozenset(x for x in it.answer if idf[x] > 0) or it.answer))
+        rooms = np.array([max(8, len(it.ids) - WINDOW // 2) for it in items], np.int64)
+        number = np.array([max(1, len(m[1])) for m in masks], np.int64)
         for f in frames:
             for keys, sizes, packed in zip(f["ids_of"], f["sizes"], f["ids"]):
                 ids, size = _open(sizes, packed)
                 base = np.r_[0, np.cumsum(size)]
                 p = Passages(ids, size, idf)
+                contents_of = p.ids.tolist()
                 best: dict[int, tuple] = {}
                 leaks: dict[int, set] = {}
-                done = set()
-                for s in range(0, len(p.lo), RUN):
-                    part = _Slice(p, s, s + RUN)
-                    cosine = _unit(part.times_weighted(weighted)) @ vectors.T
-                    for w, v in zip(*np.divmod(np.flatnonzero(cosine.ravel() >= MIN_COSINE), len(vectors))):
-                        d, i = int(p.doc[s + w]), int(owner[v])
-                        if (s + w, i) in done:
-                            continue
-                        done.add((s + w, i))
+                for s in range(0, len(p), RUN):
+                    cosine = (_unit(p.times_weighted(weighted, s, s + RUN)) @ vectors.T).ravel()
+                    hit = np.flatnonzero(cosine >= MIN_COSINE)
+                    if not len(hit):
+                        continue
+                    w, v = np.divmod(hit, len(vectors))
+                    # a passage and an item are a candidate once
+                    pair, once = np.unique(w * len(items) + owner[v], return_index=True)
+                    w, i = np.divmod(pair, len(items))
+                    d = p.doc[s + w]
+                    lo, hi = np.maximum(base[d], p.start[s + w] - rooms[i]), np.minimum(base[d + 1], p.end[s + w] + rooms[i])
+                    a, b = np.searchsorted(p.at, lo), np.searchsorted(p.at, hi)
+                    # at most so many content words can be shared
+                    able = np.flatnonzero((b - a) / number[i] >= PARAPHRASE / 2)
+                    for d, i, lo, hi, a, b, cos in zip(*(x[able].tolist() for x in (d, i, lo, hi, a, b, cosine[hit[once]]))):
                         it, (mask, contents, answer) = items[i], masks[i]
-                        room = max(8, len(it.ids) - WINDOW // 2)
-                        near = ids[max(base[d], p.start[s + w] - room) : min(base[d + 1], p.end[s + w] + room)].tolist()
-                        held = contents.intersection(near)
-                        share = len(held) / len(contents) if contents else 0.0
+                        held = len(contents.intersection(contents_of[a:b]))
+                        share = held / len(contents) if contents else 0.0
                         if share < PARAPHRASE / 2:
                             continue
+                        near = ids[lo:hi].tolist()
                         common = lcs(mask, len(it.ids), near) / len(it.ids)
                         answered = len(answer.intersection(near)) / len(answer) if answer else 0.0
                         leak = common >= VERBATIM or common >= PARAPHRASE and share >= CONTENT and answered >= ANSWER
                         if leak:
                             leaks.setdefault(d, set()).add(it.item_id)
-                        found = (leak, common, answered, float(cosine[w, v]), it.item_id)
+                        found = (leak, common, answered, cos, it.item_id)
                         if d not in best or found[:4] > best[d][:4] or found[:4] == best[d][:4] and found[4] < best[d][4]:
                             best[d] = found
                 for d, item_id in _verbatim(by_first, begins, ids, base):
@@ -397,15 +466,6 @@ def _search_block(docs: DataFrame, rows: list, id_type: str, rank: int) -> DataF
     return chunks.mapInPandas(run, f"{_ID} {id_type}, contaminated boolean, leaked array<long>, item_id long, cosine double, lcs_share double, answer_share double")
 
 
-class _Slice:
-    """Some of the windows of a chunk."""
-
-    def __init__(self, p: Passages, s: int, e: int):
-        self.ids, self.idf, self.lo, self.hi, self.norm = p.ids, p.idf, p.lo[s:e], p.hi[s:e], p.norm[s:e]
-
-    times_weighted = Passages.times_weighted
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = RANK) -> DataFrame:
     """doc_id, contaminated, n_items, item_id, cosine, lcs_share, answer_share: one row for each of ``docs``; item_id and what follows are of the best match."""
     own = docs.select(F.col(id_col).alias(_ID), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

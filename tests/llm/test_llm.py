@@ -647,6 +647,36 @@ def test_products_and_subsequences():
         assert latent.lcs(masks, 12, y) == t[12][15]
 
 
+def test_products_do_not_depend_on_other_passages():
+    """A passage of small weights beside ones of large weights; documents of all lengths around a cell, empty ones too; groups of many rows."""
+    r = np.random.default_rng(1)
+    sizes = np.array([0, 1, 2, 15, 16, 17, 0, 31, 32, 33, 48, 49, 400, 0])
+    ids = r.integers(0, 9, sizes.sum())
+    ids[: sizes[:6].sum()] = 9
+    idf = np.r_[0.0, np.ones(9)]
+    m = r.standard_normal((10, 5)).astype(np.float32)
+    m[9] *= 1e9
+    p = latent.Passages(ids, sizes, idf)
+    a = np.zeros((len(p.lo), 10))
+    for w in range(len(p.lo)):
+        np.add.at(a[w], p.ids[p.lo[w] : p.hi[w]], 1 / p.norm[w].astype(float))
+    assert np.allclose(p.times(m), a @ m, rtol=1e-4, atol=1e-4)
+    y = r.standard_normal((len(p.lo), 5)).astype(np.float32)
+    assert np.allclose(p.transposed_times(y, 10), a.T @ y, rtol=1e-4, atol=1e-4)
+    parts = np.zeros((10, 5))
+    for s in range(0, len(p.lo), 7):
+        p.add_transposed(y[s : s + 7], parts, s, s + 7)
+        assert np.array_equal(p.times_weighted(m, s, s + 7), p.times_weighted(m)[s : s + 7])
+    assert np.allclose(parts, a.T @ y, rtol=1e-4, atol=1e-4)
+
+
+def test_encoded_words_are_the_words():
+    r = random.Random(5)
+    signs = "aZ09_ .-\t\n\x1c\x1f\x7f\x85\xa0éÉßİKſµ·'’“¿—ǅΣς日本。٣²½\u0301\u200d\u2028\ud7ff\ufeff😀𝒜"
+    texts = ["".join(r.choices(signs, k=40)) for _ in range(500)] + ["".join(map(chr, range(0xD800))), "".join(map(chr, range(128))), "", None]
+    assert all([w.decode() for w in latent.encoded_words(t)] == latent.words(t) for t in texts)
+
+
 # ---- page extraction
 
 PAGES = {
